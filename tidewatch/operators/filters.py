@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.labels import utc_date
 from tidewatch.functions.parsing import as_decimal, decimal_of, double_of
 from tidewatch.schemas import USD
 
@@ -14,11 +15,14 @@ from tidewatch.schemas import USD
 def pool_time_range(df: DataFrame, pool: str, start: int, end: int) -> DataFrame:
     """Swaps of one pool in ``start..end``, both ends included, in time order.
 
-    Plain comparisons on stored columns: parquet skips row groups by them.
+    Plain comparisons on stored columns: parquet skips row groups by them, and day folders where
+    the table has them.
     """
     if start > end:
         raise ValueError("start must not be after end")
     chosen = (F.col("pool") == pool.lower()) & F.col("timestamp").between(start, end)
+    if "day" in df.columns:
+        chosen &= F.col("day").between(utc_date(F.lit(start)), utc_date(F.lit(end)))
     return df.where(chosen).orderBy("timestamp")
 
 

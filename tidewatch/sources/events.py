@@ -128,8 +128,5 @@ def swaps_as_payloads(swaps: DataFrame) -> DataFrame:
             F.lit("sqrtPriceX96"), F.col("sqrtPriceX96"),
         )
     )
-    body = F.expr("substring(leaves, 1, length(leaves) - 1)")
-    return (
-        swaps.withColumns({"leaves": leaves, "pool_text": pool, "where_text": where})
-        .select(F.concat(body, F.lit(',"pool":'), "pool_text", "where_text", F.lit("}")).alias("value"))
-    )
+    body = F.rtrim(leaves, F.lit("}"))
+    return swaps.select(F.concat(body, F.lit(',"pool":'), pool, where, F.lit("}")).alias("value"))

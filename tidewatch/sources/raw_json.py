@@ -35,8 +35,12 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Payload columns from a text column of JSON objects."""
-    return lines.select(F.from_json(column, PAYLOAD_SCHEMA).alias("payload")).select("payload.*")
+    """Payload columns from a text column of JSON objects.
+
+    Through a generator each line is parsed once; a plain struct would be parsed again for every
+    use of one of its fields, because projections are merged.
+    """
+    return lines.select(F.inline(F.array(F.from_json(column, PAYLOAD_SCHEMA))))
 
 
 def normalise_payloads(payloads: DataFrame) -> DataFrame:
