@@ -13,7 +13,11 @@ from tidewatch.schemas import SWAP_COLUMNS
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    """Event table; a small one in a single split is spread over some cores."""
+    table = spark.read.parquet(f"{folder}/events.parquet")
+    if table.rdd.getNumPartitions() > 1:
+        return table
+    return table.repartition(min(16, spark.sparkContext.defaultParallelism))
 
 
 def _epoch_seconds() -> Column:
