@@ -98,7 +98,8 @@ def _dedup(source: str, name: str) -> str:
     FROM {source}) WHERE rn = 1)"""
 
 
-_ROUND4 = "floor(least(1e0, greatest(0e0, {0})) * 10000e0 + 0.5e0) / 10000e0"
+# Printing rounds the exact binary value.
+_ROUND4 = "CAST(format('{{:.4f}}', least(1e0, greatest(0e0, {0}))) AS DOUBLE)"
 
 
 def _sandwich_score(span: str, similarity: str, victim: str, front: str) -> str:

@@ -70,8 +70,20 @@ def long_of(df: DataFrame, name: str) -> Column:
 
 
 def score_round(value: Column) -> Column:
-    """Four decimals. ``floor`` rather than ``round``: the same double in every engine."""
-    return F.floor(value * F.lit(10000.0) + F.lit(0.5)) / F.lit(10000.0)
+    """Nearest four-decimal number of a double in 0..1, judged by its exact binary value.
+
+    Spark's ``round`` looks at the shortest decimal text instead, and ``floor(x * 10000 + 0.5)`` at a
+    product that is itself rounded; both differ from the exact value next to a tie.
+    """
+    steps = F.floor(value * F.lit(10000.0))
+    odd = (steps * 2 + 1).cast("double")
+    tie = odd / F.lit(20000.0)
+    # How far the double ``tie`` misses the true tie, without rounding: 30 high bits and the rest
+    # of ``tie`` times 20000 each fit into a double.
+    high = F.floor(tie * F.lit(2.0**30)).cast("double") / F.lit(2.0**30)
+    missing = (odd - high * F.lit(20000.0)) - (tie - high) * F.lit(20000.0)
+    up = (value > tie) | ((value == tie) & ((missing < 0) | ((missing == 0) & (steps % 2 == 1))))
+    return (steps + F.when(up, 1).otherwise(0)).cast("double") / F.lit(10000.0)
 
 
 def clamp01(value: Column) -> Column:
