@@ -15,6 +15,8 @@ def spark():
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="4",
         spark__sql__session__timeZone="America/New_York",
+        # Tables of a few rows: compiling each plan would take longer than running it.
+        spark__sql__codegen__wholeStage="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -21,14 +21,12 @@ def test_bad_timestamp_is_dropped(table):
     assert dict(cleaned.dtypes)["timestamp"] == "bigint"
 
 
-@pytest.mark.parametrize(
-    "text, seconds",
-    [("1769263223.9", T0), (" 12 ", 12), ("-1.5", -1), ("1e3", 1000), ("9007199254740993", 9007199254740993)]
-    + [(bad, None) for bad in ("", "nan", "inf", "1d", "1_000", None)],
-)
-def test_timestamp_text(table, text, seconds):
-    got = [r["timestamp"] for r in cleaning.coerce_timestamp(table([{**ROWS[0], "timestamp": text}])).collect()]
-    assert got == ([] if seconds is None else [seconds])
+def test_timestamp_text(table):
+    read = {"1769263223.9": T0, " 12 ": 12, "-1.5": -1, "1e3": 1000, "9007199254740993": 9007199254740993}
+    texts = [*read, "", "nan", "inf", "1d", "1_000", None]
+    rows = table([{**ROWS[0], "timestamp": text, "tx_hash": text} for text in texts])
+    got = cleaning.coerce_timestamp(rows).collect()
+    assert {r["tx_hash"]: r["timestamp"] for r in got} == read
 
 
 def test_addresses_become_lower_case(table):

@@ -19,14 +19,12 @@ def test_rounding_is_that_of_exact_values(spark):
     assert wrong == []
 
 
-@pytest.mark.parametrize(
-    "text, number",
-    [("12", 12.0), (" -1.5 ", -1.5), (".5", 0.5), ("5.", 5.0), ("+1e-3", 0.001), ("1E99", 1e99)]
-    + [(bad, None) for bad in ("", " ", "NaN", "inf", "-Infinity", "1d", "1f", "1_000", "0x10", "1e100", "1 2", None)],
-)
-def test_doubles_from_text(spark, text, number):
-    df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(parsing.as_double(F.col("t"))).first()[0] == number
+def test_doubles_from_text(spark):
+    read = {"12": 12.0, " -1.5 ": -1.5, ".5": 0.5, "5.": 5.0, "+1e-3": 0.001, "1E99": 1e99}
+    bad = ["", " ", "NaN", "inf", "-Infinity", "1d", "1f", "1_000", "0x10", "1e100", "1 2", None]
+    df = spark.createDataFrame([(text,) for text in [*read, *bad]], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", parsing.as_double(F.col("t")).alias("d")).collect()}
+    assert got == {**read, **dict.fromkeys(bad)}
 
 
 def test_numbers_skip_the_text(spark):
@@ -44,20 +42,18 @@ def test_directions(spark):
     assert [r[2] for r in got] == ["buy", "sell", "sell", "sell", "sell"]
 
 
-@pytest.mark.parametrize(
-    "span, similarity, victim, front, score",
-    [
+def test_sandwich_score(spark):
+    cases = [
         (5, 1.0, 10000.0, 5000.0, 1.0),
         (15, 1.0, 5000.0, 1500.0, 0.35 * 0.9 + 0.25 + 0.18 + 0.18),
         (30, 0.5, 1000.0, 100.0, 0.35 * 0.8 + 0.125 + 0.16 + 0.14),
         (31, 0.5, 999.0, 1.0, 0.35 * (1 - 1 / 60) + 0.125 + 0.12 + 0.1),
         (600, 0.0, 0.0, 1.0, 0.35 * 0.5 + 0.12 + 0.1),
-    ],
-)
-def test_sandwich_score(spark, span, similarity, victim, front, score):
-    df = spark.createDataFrame([(span, similarity, victim, front)], "s long, a double, v double, f double")
-    got = df.select(scoring.sandwich_confidence(F.col("s"), F.col("a"), F.col("v"), F.col("f"))).first()[0]
-    assert got == pytest.approx(score, abs=5.1e-5)
+    ]
+    df = spark.createDataFrame(cases, "s long, a double, v double, f double, wanted double")
+    score = scoring.sandwich_confidence(F.col("s"), F.col("a"), F.col("v"), F.col("f"))
+    for row in df.select("wanted", score.alias("score")).collect():
+        assert row["score"] == pytest.approx(row["wanted"], abs=5.1e-5)
 
 
 def test_labels_and_price(spark):

@@ -1,6 +1,5 @@
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import swap
@@ -10,55 +9,51 @@ from tidewatch.operators.quality import ERRORS
 GOOD = swap(1, 1, 0, "-423.467818", "0.143747594817866756", "424.108780290392901693")
 
 
-def errors(table, **changes):
-    return quality.with_swap_errors(table([{**GOOD, **changes}])).first()[ERRORS]
-
-
-@pytest.mark.parametrize(
-    "changes",
-    [
-        {},
-        {"pool": "0X88E6A0C2DDD26FEEB64F039A2C41296FCB3F5640"},
-        {"tx_hash": " 0x" + "AB" * 32 + " "},
-        {"sqrtPriceX96": None},
-        {"sqrtPriceX96": "-0"},
-        {"sqrtPriceX96": "9" * 49},
-        {"timestamp": "1769263223.0"},
-        {"amount0": "1e5"},
-        {"tick": "-887272"},
-        {"block_number": "100000000"},
-    ],
-)
-def test_valid(table, changes):
-    assert errors(table, **changes) == []
-
-
-@pytest.mark.parametrize(
-    "changes, message",
-    [
-        ({"timestamp": "invalid"}, "timestamp: not an integer"),
-        ({"timestamp": "1000000"}, "timestamp: out of range"),
-        ({"timestamp": "2000000001"}, "timestamp: out of range"),
-        ({"timestamp": None}, "timestamp: not an integer"),
-        ({"timestamp": "1769263223.5"}, "timestamp: not an integer"),
-        ({"block_number": "-1"}, "block_number: out of range"),
-        ({"tx_hash": "invalid_hash"}, "tx_hash: not a transaction hash"),
-        ({"tx_hash": "0x" + "g" * 64}, "tx_hash: not a transaction hash"),
-        ({"pool": "0xinvalid"}, "pool: not an address"),
-        ({"sender": None}, "sender: not an address"),
-        ({"recipient": ""}, "recipient: not an address"),
-        ({"amount0": "not_a_number"}, "amount0: not a decimal"),
-        ({"amount1": "NaN"}, "amount1: not a decimal"),
-        ({"amount_usd": ""}, "amount_usd: not a decimal"),
-        ({"amount_usd": "1" * 101}, "amount_usd: not a decimal"),
-        ({"tick": "1000000"}, "tick: out of range"),
-        ({"tick": "9" * 50}, "tick: out of range"),
-        ({"sqrtPriceX96": "-123"}, "sqrtPriceX96: not a non-negative integer"),
-        ({"sqrtPriceX96": "1.5"}, "sqrtPriceX96: not a non-negative integer"),
-    ],
-)
-def test_one_broken_rule(table, changes, message):
-    assert errors(table, **changes) == [message]
+VALID = [
+    {},
+    {"pool": "0X88E6A0C2DDD26FEEB64F039A2C41296FCB3F5640"},
+    {"tx_hash": " 0x" + "AB" * 32 + " "},
+    {"sqrtPriceX96": None},
+    {"sqrtPriceX96": "-0"},
+    {"sqrtPriceX96": "9" * 49},
+    {"timestamp": "1769263223.0"},
+    {"amount0": "1e5"},
+    {"tick": "-887272"},
+    {"block_number": "100000000"},
+]
+
+BROKEN = [
+    ({"timestamp": "invalid"}, "timestamp: not an integer"),
+    ({"timestamp": "1000000"}, "timestamp: out of range"),
+    ({"timestamp": "2000000001"}, "timestamp: out of range"),
+    ({"timestamp": None}, "timestamp: not an integer"),
+    ({"timestamp": "1769263223.5"}, "timestamp: not an integer"),
+    ({"block_number": "-1"}, "block_number: out of range"),
+    ({"tx_hash": "invalid_hash"}, "tx_hash: not a transaction hash"),
+    ({"tx_hash": "0x" + "g" * 64}, "tx_hash: not a transaction hash"),
+    ({"pool": "0xinvalid"}, "pool: not an address"),
+    ({"sender": None}, "sender: not an address"),
+    ({"recipient": ""}, "recipient: not an address"),
+    ({"amount0": "not_a_number"}, "amount0: not a decimal"),
+    ({"amount1": "NaN"}, "amount1: not a decimal"),
+    ({"amount_usd": ""}, "amount_usd: not a decimal"),
+    ({"amount_usd": "1" * 101}, "amount_usd: not a decimal"),
+    ({"tick": "1000000"}, "tick: out of range"),
+    ({"tick": "9" * 50}, "tick: out of range"),
+    ({"sqrtPriceX96": "-123"}, "sqrtPriceX96: not a non-negative integer"),
+    ({"sqrtPriceX96": "1.5"}, "sqrtPriceX96: not a non-negative integer"),
+]
+
+
+def test_each_rule(table):
+    cases = [(changes, []) for changes in VALID] + [(changes, [message]) for changes, message in BROKEN]
+    expected = {}
+    for changes, errors in cases:
+        row = {**GOOD, **changes}
+        expected[tuple(row.values())] = errors
+    rows = [dict(zip(GOOD, values, strict=True)) for values in expected]
+    got = quality.with_swap_errors(table(rows)).collect()
+    assert {tuple(r[name] for name in GOOD): r[ERRORS] for r in got} == expected
 
 
 def test_first_error_follows_column_order(table):

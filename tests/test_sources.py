@@ -40,9 +40,8 @@ def test_nested_payload(spark, tmp_path):
     }
 
 
-@pytest.mark.parametrize(
-    "changes, column, value",
-    [
+def test_payload_variants(spark, tmp_path):
+    cases = [
         ({"pool": POOL}, "pool", POOL),
         ({"pool": {"address": POOL}}, "pool", POOL),
         ({"pool": {"id": "", "address": POOL}}, "pool", POOL),
@@ -58,11 +57,11 @@ def test_nested_payload(spark, tmp_path):
         ({"tick": "1.5"}, "tick", None),
         ({"sender": ""}, "sender", None),
         ({"amountUSD": None}, "amount_usd", None),
-    ],
-)
-def test_payload_variants(spark, tmp_path, changes, column, value):
-    (row,) = normalised(spark, tmp_path, {**PAYLOAD, **changes})
-    assert row[column] == value
+    ]
+    # The recipient carries the number of the case.
+    payloads = [{**PAYLOAD, **changes, "recipient": str(i)} for i, (changes, _, _) in enumerate(cases)]
+    rows = {int(row["recipient"]): row for row in normalised(spark, tmp_path, *payloads)}
+    assert [rows[i][column] for i, (_, column, _) in enumerate(cases)] == [value for _, _, value in cases]
 
 
 def test_fetch_job_and_stream_agree(spark, tmp_path):

@@ -49,7 +49,7 @@ class SandwichSettings:
 def order_columns(df: DataFrame) -> list[str]:
     """Columns that put the swaps of a pool in one total order, independent of input order."""
     if {"block_number", "log_index"} <= set(df.columns):
-        return ["block_number", "log_index"]
+        return ["block_number", "log_index", "tx_hash"]
     optional = ["block_number", "tx_hash", "amount0", "amount1"]
     return [name for name in optional if name in df.columns]
 
@@ -61,21 +61,20 @@ def _bucket(seconds: Column, width: int) -> Column:
 def tradable_swaps(df: DataFrame, settings: SandwichSettings) -> DataFrame:
     """Swaps large enough to matter, narrowed to what the joins need.
 
-    Columns: pool, sender, ts, tx_hash, usd, side (-2 buy, 2 sell), seq (position within the pool).
+    Columns: pool, sender, usd, side (-2 buy, 2 sell) and seq, the position within the pool. Time and
+    hash are part of ``seq``; rows carry them once through the shuffles.
     """
     require_columns(df, SANDWICH_INPUT)
     return df.select(
         "pool",
         "sender",
-        long_of(df, "timestamp").alias("ts"),
-        "tx_hash",
         double_of(df, "amount_usd").alias("usd"),
         trade_side(double_of(df, "amount0"), double_of(df, "amount1")).alias("side"),
         F.struct(long_of(df, "timestamp").alias("ts"), *order_columns(df)).alias("seq"),
     ).where(
         (F.col("usd") >= float(settings.min_usd))
         & F.col("pool").isNotNull()
-        & F.col("ts").isNotNull()
+        & F.col("seq.ts").isNotNull()
     )
 
 
@@ -88,8 +87,8 @@ def _heavy_buckets(swaps: DataFrame, settings: SandwichSettings):
     rows = swaps.select(
         "pool",
         "sender",
-        _bucket(F.col("ts"), settings.pair_bucket).alias("bucket"),
-        _bucket(F.col("ts"), settings.victim_bucket).alias("victim_bucket"),
+        _bucket(F.col("seq.ts"), settings.pair_bucket).alias("bucket"),
+        _bucket(F.col("seq.ts"), settings.victim_bucket).alias("victim_bucket"),
     )
     busy = heavy_keys(rows, ["pool", "bucket"], limit)
     if busy is None:
@@ -113,21 +112,17 @@ def _pairs(swaps: DataFrame, settings: SandwichSettings, heavy: DataFrame | None
         "sender",
         (-F.col("side")).alias("side"),
         F.explode(
-            F.sequence(_bucket(F.col("ts"), width), _bucket(F.col("ts") + window, width))
+            F.sequence(_bucket(F.col("seq.ts"), width), _bucket(F.col("seq.ts") + window, width))
         ).alias("bucket"),
-        F.col("ts").alias("front_ts"),
         F.col("seq").alias("front_seq"),
-        F.col("tx_hash").alias("front_tx"),
         F.col("usd").alias("front_usd"),
     )
     backs = legs.select(
         "pool",
         "sender",
         "side",
-        _bucket(F.col("ts"), width).alias("bucket"),
-        F.col("ts").alias("back_ts"),
+        _bucket(F.col("seq.ts"), width).alias("bucket"),
         F.col("seq").alias("back_seq"),
-        F.col("tx_hash").alias("back_tx"),
         F.col("usd").alias("back_usd"),
     )
     # A back lies in one bucket, so a pair meets once although fronts are repeated.
@@ -138,7 +133,7 @@ def _pairs(swaps: DataFrame, settings: SandwichSettings, heavy: DataFrame | None
     return (
         joined.where(
             (F.col("front_seq") < F.col("back_seq"))
-            & (F.col("back_ts") - F.col("front_ts") <= window)
+            & (F.col("back_seq.ts") - F.col("front_seq.ts") <= window)
             & (similarity >= settings.similarity)
         )
         .withColumn("similarity", similarity)
@@ -153,10 +148,10 @@ def reversal_pairs(df: DataFrame, settings: SandwichSettings = SandwichSettings(
     return _pairs(swaps, settings, heavy).select(
         "pool",
         F.col("sender").alias("attacker"),
-        F.col("front_tx").alias("front_run_tx"),
-        F.col("back_tx").alias("back_run_tx"),
-        F.col("front_ts").alias("front_run_timestamp"),
-        F.col("back_ts").alias("back_run_timestamp"),
+        F.col("front_seq.tx_hash").alias("front_run_tx"),
+        F.col("back_seq.tx_hash").alias("back_run_tx"),
+        F.col("front_seq.ts").alias("front_run_timestamp"),
+        F.col("back_seq.ts").alias("back_run_timestamp"),
         F.col("front_usd").alias("front_run_amount_usd"),
         F.col("back_usd").alias("back_run_amount_usd"),
         "similarity",
@@ -171,15 +166,13 @@ def sandwich_candidates(df: DataFrame, settings: SandwichSettings = SandwichSett
     key = ["pool", "bucket"]
     pairs = _pairs(swaps, settings, heavy_pairs).withColumn(
         "bucket",
-        F.explode(F.sequence(_bucket(F.col("front_ts"), width), _bucket(F.col("back_ts"), width))),
+        F.explode(F.sequence(_bucket(F.col("front_seq.ts"), width), _bucket(F.col("back_seq.ts"), width))),
     )
     victims = swaps.select(
         "pool",
-        _bucket(F.col("ts"), width).alias("bucket"),
-        F.col("ts").alias("victim_ts"),
+        _bucket(F.col("seq.ts"), width).alias("bucket"),
         F.col("seq").alias("victim_seq"),
         F.col("sender").alias("victim_sender"),
-        F.col("tx_hash").alias("victim_tx"),
         F.col("usd").alias("victim_usd"),
     )
     # A victim lies in one bucket, so a triple meets once although pairs are repeated.
@@ -195,19 +188,19 @@ def sandwich_candidates(df: DataFrame, settings: SandwichSettings = SandwichSett
     )
     return triples.select(
         F.col("sender").alias("attacker"),
-        "victim_tx",
-        F.col("front_tx").alias("front_run_tx"),
-        F.col("back_tx").alias("back_run_tx"),
+        F.col("victim_seq.tx_hash").alias("victim_tx"),
+        F.col("front_seq.tx_hash").alias("front_run_tx"),
+        F.col("back_seq.tx_hash").alias("back_run_tx"),
         "pool",
-        F.col("front_ts").alias("front_run_timestamp"),
-        F.col("victim_ts").alias("victim_timestamp"),
-        F.col("back_ts").alias("back_run_timestamp"),
+        F.col("front_seq.ts").alias("front_run_timestamp"),
+        F.col("victim_seq.ts").alias("victim_timestamp"),
+        F.col("back_seq.ts").alias("back_run_timestamp"),
         F.col("front_usd").alias("front_run_amount_usd"),
         F.col("victim_usd").alias("victim_amount_usd"),
         F.col("back_usd").alias("back_run_amount_usd"),
         profit_estimate(F.col("front_usd"), F.col("back_usd")).alias("profit_estimate_usd"),
         sandwich_confidence(
-            F.col("back_ts") - F.col("front_ts"),
+            F.col("back_seq.ts") - F.col("front_seq.ts"),
             F.col("similarity"),
             F.col("victim_usd"),
             F.col("front_usd"),
