@@ -497,7 +497,7 @@ def roundtrips_one_trader(spark, folder):
     hot = _swaps(spark, folder).withColumns(
         {"pool": F.lit("0x" + "9" * 40), "sender": F.lit("0x" + "5" * 40)}
     )
-    return _legs(roundtrips(hot, WashSettings(3600, Decimal("500"), 3)))
+    return _legs(roundtrips(hot, WashSettings(3600, Decimal("500"), 3, rows_per_task=50)))
 
 
 @query

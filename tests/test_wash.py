@@ -145,10 +145,11 @@ def _random_trades(seed, n=400, turn=0.85):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("windows_per_chunk", [1, 3, 1000])
-def test_roundtrips_equal_the_greedy_walk(table, seed, windows_per_chunk):
+@pytest.mark.parametrize("windows_per_chunk, rows_per_task", [(1, None), (3, 10), (1000, 200), (1000, None)])
+def test_roundtrips_equal_the_greedy_walk(table, seed, windows_per_chunk, rows_per_task):
+    """A limit of 10 splits both traders' chunks, one of 200 only those of the busier trader."""
     rows = _random_trades(seed)
-    settings = WashSettings(window_seconds=10, windows_per_chunk=windows_per_chunk)
+    settings = WashSettings(10, windows_per_chunk=windows_per_chunk, rows_per_task=rows_per_task)
     got = [(r["open_tx"], r["close_tx"]) for r in roundtrips(table(rows), settings).collect()]
     assert len(got) == len(set(got))
     assert set(got) == _greedy(rows, 10, 1000)
@@ -156,8 +157,8 @@ def test_roundtrips_equal_the_greedy_walk(table, seed, windows_per_chunk):
 
 def test_run_without_any_break_over_many_chunks(table):
     rows = alternating(range(0, 303, 3))
-    for per_chunk in (1, 2):
-        settings = WashSettings(window_seconds=3, windows_per_chunk=per_chunk)
+    for per_chunk, limit in ((1, None), (2, None), (2, 2)):
+        settings = WashSettings(3, windows_per_chunk=per_chunk, rows_per_task=limit)
         assert consecutive_pairs(table(rows), settings).count() == 100
         got = {(r["open_tx"], r["close_tx"]) for r in roundtrips(table(rows), settings).collect()}
         assert got == {(tx(n), tx(n + 1)) for n in range(1, 101, 2)}

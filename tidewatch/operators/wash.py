@@ -11,6 +11,10 @@ One trader can hold a large part of the table (a router contract in the main poo
 sees the first ``window`` seconds after its end knows all edges that start in it. A run may go on
 over chunk borders; then only the parity of its length has to be carried over, one row per chunk
 in which that happens.
+
+Traders with too many trades in one chunk get chunks shorter than the time window. Repeating a whole
+window of trades would then be too much; the first trade of the trader's next chunk is enough, because
+an edge leads to the very next trade only.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.labels import wash_direction
 from tidewatch.functions.parsing import decimal_of, double_of, long_of
 from tidewatch.functions.scoring import price_dispersion, sqrt_price_to_price, wash_confidence
+from tidewatch.operators.skew import heavy_keys, only_heavy
 from tidewatch.schemas import AMOUNT, USD, WASH_INPUT, WASH_SCHEMA, require_columns
 
 TRADER = ["pool", "sender"]
@@ -38,6 +43,8 @@ class WashSettings:
     # Length of a time chunk in windows. Longer chunks repeat fewer trades at their borders,
     # shorter ones split a busy trader into more tasks.
     windows_per_chunk: int = 8
+    # Trades of one trader and chunk that a single task may sort; None never splits a chunk.
+    rows_per_task: int | None = 1_000_000
 
     def __post_init__(self) -> None:
         if self.window_seconds <= 0 or self.min_roundtrips <= 0 or self.windows_per_chunk <= 0:
@@ -47,9 +54,14 @@ class WashSettings:
     def chunk_seconds(self) -> int:
         return self.window_seconds * self.windows_per_chunk
 
+    @property
+    def short_chunk_seconds(self) -> int:
+        return max(1, self.window_seconds // 10)
+
 
-def _chunk(seconds: Column, settings: WashSettings) -> Column:
-    return F.floor(seconds / F.lit(settings.chunk_seconds))
+def _chunk(seconds: Column) -> Column:
+    """Number of the chunk; ``width`` is its length, the same for all trades of a trader."""
+    return F.floor(seconds / F.col("width"))
 
 
 def _trades(df: DataFrame) -> DataFrame:
@@ -68,6 +80,51 @@ def _trades(df: DataFrame) -> DataFrame:
     ).where(F.col("pool").isNotNull() & F.col("sender").isNotNull() & F.col("ts").isNotNull())
 
 
+def _busy_traders(trades: DataFrame, settings: WashSettings) -> DataFrame | None:
+    """Traders with a chunk above the limit, None without any. A cheap count per pool comes first."""
+    limit = settings.rows_per_task
+    if limit is None:
+        return None
+    rows = trades.select(*TRADER, F.floor(F.col("ts") / F.lit(settings.chunk_seconds)).alias("chunk"))
+    pools = heavy_keys(rows, ["pool", "chunk"], limit)
+    if pools is None:
+        return None
+    busy = heavy_keys(only_heavy(rows, pools, ["pool", "chunk"]), CHUNK, limit)
+    return None if busy is None else busy.select(*TRADER).distinct()
+
+
+def _chunked(trades: DataFrame, order: list[str], settings: WashSettings) -> DataFrame:
+    """Trades by chunk, each chunk followed by the trades after its end that an edge may lead to."""
+    window = settings.window_seconds
+    busy = _busy_traders(trades, settings)
+
+    def long_chunks(some: DataFrame) -> DataFrame:
+        some = some.withColumn("width", F.lit(settings.chunk_seconds))
+        chunks = F.sequence(_chunk(F.col("ts") - window), _chunk(F.col("ts")))
+        return some.withColumn("chunk", F.explode(chunks))
+
+    if busy is None:
+        return long_chunks(trades)
+    short = (
+        trades.join(busy, TRADER, "left_semi")
+        .withColumn("width", F.lit(settings.short_chunk_seconds))
+        .withColumn("chunk", _chunk(F.col("ts")))
+    )
+    # Combined map-side; at most one row per chunk, so a trader's rows are bounded by the calendar.
+    first = short.groupBy(*CHUNK, "width").agg(F.min(F.struct(*order)).alias("first"))
+    previous = F.lag("chunk").over(Window.partitionBy(*TRADER).orderBy("chunk"))
+    ahead = (
+        first.withColumn("previous", previous)
+        .where(F.col("previous").isNotNull())
+        .select(*TRADER, "first.*", "width", F.col("previous").alias("chunk"))
+    )
+    return (
+        long_chunks(trades.join(busy, TRADER, "left_anti"))
+        .unionByName(short)
+        .unionByName(ahead)
+    )
+
+
 def _edges(df: DataFrame, settings: WashSettings) -> DataFrame:
     """Edges with their position in the run, counted from the start of the chunk at the earliest.
 
@@ -78,14 +135,7 @@ def _edges(df: DataFrame, settings: WashSettings) -> DataFrame:
     # Every column takes part in the order. That makes it total, and it makes all uses of the
     # edges ask for the same columns, so that Spark shuffles the trades once and reuses the result.
     order = [name for name in trades.columns if name not in TRADER]
-    repeated = trades.withColumn(
-        "chunk",
-        F.explode(
-            F.sequence(
-                _chunk(F.col("ts") - settings.window_seconds, settings), _chunk(F.col("ts"), settings)
-            )
-        ),
-    )
+    repeated = _chunked(trades, order, settings)
     in_order = Window.partitionBy(*CHUNK).orderBy(*order)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     minimum = F.lit(str(settings.min_usd)).cast(USD)
@@ -107,25 +157,26 @@ def _edges(df: DataFrame, settings: WashSettings) -> DataFrame:
         # Without a follower the struct is null, and so is the test of each of its fields.
         .withColumn("is_edge", F.col("next").isNotNull() & is_edge)
         .withColumn("last_break", F.max(F.when(~F.col("is_edge"), F.col("row"))).over(so_far))
-        .where(F.col("is_edge") & (F.col("chunk") == _chunk(F.col("ts"), settings)))
+        .where(F.col("is_edge") & (F.col("chunk") == _chunk(F.col("ts"))))
         .withColumn("open_run", F.col("last_break").isNull())
         .withColumn("position", F.col("row") - F.coalesce(F.col("last_break"), F.lit(0)))
     )
 
 
-def _carried(edges: DataFrame, settings: WashSettings) -> DataFrame:
+def _carried(edges: DataFrame) -> DataFrame:
     """Odd run lengths that reach over a chunk border, as (pool, sender, chunk they reach into).
 
     One row per chunk and trader at most, and only where a run does cross the border: the window
     over a trader is bounded by the calendar, not by its trades.
     """
-    crossing = edges.where(_chunk(F.col("next.ts"), settings) > F.col("chunk")).select(
-        *CHUNK, "position", "open_run"
+    into = _chunk(F.col("next.ts"))
+    crossing = edges.where(into > F.col("chunk")).select(
+        *CHUNK, into.alias("into"), "position", "open_run"
     )
     by_time = Window.partitionBy(*TRADER).orderBy("chunk")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     continues = F.col("open_run") & F.coalesce(
-        F.lag("chunk").over(by_time) == F.col("chunk") - 1, F.lit(False)
+        F.lag("into").over(by_time) == F.col("chunk"), F.lit(False)
     )
     in_run = Window.partitionBy(*TRADER, "run").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -135,7 +186,7 @@ def _carried(edges: DataFrame, settings: WashSettings) -> DataFrame:
         .withColumn("run", F.sum("starts").over(so_far))
         .withColumn("length", F.sum("position").over(in_run))
         .where(F.col("length") % 2 == 1)
-        .select(*TRADER, (F.col("chunk") + 1).alias("chunk"), F.lit(1).alias("carry"))
+        .select(*TRADER, F.col("into").alias("chunk"), F.lit(1).alias("carry"))
     )
 
 
@@ -164,7 +215,7 @@ def _leg_columns() -> list[Column]:
 
 def _roundtrips(df: DataFrame, settings: WashSettings) -> DataFrame:
     edges = _edges(df, settings)
-    placed = edges.join(_carried(edges, settings), CHUNK, "left")
+    placed = edges.join(_carried(edges), CHUNK, "left")
     carry = F.when(F.col("open_run"), F.coalesce(F.col("carry"), F.lit(0))).otherwise(F.lit(0))
     return placed.where((F.col("position") + carry) % 2 == 1).select(*_leg_columns())
 
@@ -188,7 +239,7 @@ def flagged_roundtrips(df: DataFrame, settings: WashSettings) -> tuple[DataFrame
 
 
 def _flagged(pairs: DataFrame, settings: WashSettings) -> DataFrame:
-    # Within a second the row number tells the order; chunks are longer than a second.
+    # Within a second the row number tells the order: no chunk border splits a second.
     first = F.struct("open_timestamp", "row")
     per_trader = (
         pairs.groupBy("pool", F.col("sender").alias("trader"))
