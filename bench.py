@@ -18,7 +18,7 @@ HEADLINE = [
     "sandwich_hot_pool",
     "reversal_pairs_all",
     "wash_trades_all",
-    "roundtrips_one_trader",
+    "roundtrips_all",
     "clean_swaps",
     "dedup_hot_copies",
     "validate_swaps",
