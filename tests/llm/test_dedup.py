@@ -151,7 +151,8 @@ def test_best_fit_is_the_tightest():
         fits = [b for b in bins if b["room"] >= length and (s < 0 or s not in b["s"]) and (c < 0 or c not in b["c"])]
         room = min((b["room"] for b in fits), default=None)
         wanted.append(room)
-        got = packing.pack_shard(lengths[: len(wanted)], sources, clusters, 100)[-1]
+        k = len(wanted)
+        got = packing.pack_shard(lengths[:k], sources[:k], clusters[:k], 100)[-1]
         if room is None:
             assert got == len(bins)
             bins.append({"room": 100, "s": set(), "c": set()})

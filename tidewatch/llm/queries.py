@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, line_dedup, ngram_join, packing, secret_scan
+from tidewatch.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_ngram_jaccard_join(spark, folder):
     return ngram_join.similarity_components(_table(spark, folder, "documents"))
 
 
+def op2_language_id(spark, folder):
+    return language_id.language_report(_table(spark, folder, "documents"))
+
+
 def op3_line_dedup(spark, folder):
     return line_dedup.line_report(_table(spark, folder, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_language_id,
         op3_line_dedup,
         op4_best_fit_packing,
         op6_exact_dedup,
