@@ -7,11 +7,12 @@
    at most n/5 elements are missing in any partner, so two sets that link share an element among the
    first n/5 + 1 of the region of each (its prefix). A document with more shingles of its own than that
    links with nothing and is done; in a corpus of mostly unrelated texts these are nearly all.
-3. Equal sets are one node from here on. Nodes meet under their prefix shingles. In each such list all nodes are
-   compared with the most central one (fewest shingles of its own) first. Components follow; a list whose nodes are all
-   in one component is done.
-4. In the lists that are left, nodes of different components meet in blocks of ``BLOCK``, one task per pair of blocks; lists
-   of the same nodes are compared once. A block is held as a prefix tree, see ``prefix_tree``.
+3. Equal sets are one node from here on. Nodes meet in lists, one for each prefix shingle; lists with nodes in common are
+   a family. The sets of a family are sent once, in blocks of ``BLOCK``, one group per pair of blocks. A block
+   is held as a prefix tree, see ``prefix_tree``.
+4. In a large family the nodes of each list are compared with the most central one first (fewest shingles of its own), in
+   parts of a block. Components follow; a list whose nodes are all in one component is done. What is left
+   falls into smaller families, or goes list by list in pairs of blocks.
 
 Sets whose region is too small for step 2 (bad luck of hashing) are probed against the full sets of all documents.
 
@@ -36,6 +37,10 @@ from tidewatch.session import cut
 
 WORDS = 5
 BLOCK = 128
+#: Families of nodes that meet anywhere are compared as one if they fill at most this many blocks; others list by list.
+SMALL_BLOCKS = 4
+#: Rows of a few numbers that are broadcast at the most (under 100 MB); more are joined by shuffle, with the same result.
+BROADCAST_ROWS = 2_000_000
 #: (smallest size, share of the hash range). Sizes overlap by a quarter, so sets that may link have a level in common.
 LEVELS = ((1, 1.0), (200, 0.375), (800, 0.29), (3200, 0.245))
 
@@ -95,8 +100,9 @@ def _described(levels):
             for s in sets:
                 which, parts = _regions(s, levels)
                 thin.append(any(len(p) <= missing(len(s)) for p in parts))
-                # The level goes into the hash, so that levels do not meet.
-                regions.append([(len(p), (mix(p + np.uint64(i)) if i else p).view(np.int64)) for i, p in zip(which, parts, strict=True)])
+                # The level goes into the hash, so that levels do not meet. 48 bits order and count shingles; two that
+                # fall together add a candidate, but lose none.
+                regions.append([(len(p), (mix(p + np.uint64(i)) >> np.uint64(16)).view(np.int64)) for i, p in zip(which, parts, strict=True)])
             flat_regions = [(i, n, r) for i, rs in enumerate(regions) for n, r in rs]
             ends = np.cumsum([0] + [n for _, n, _ in flat_regions])
             values = pa.array(np.concatenate([r for _, _, r in flat_regions]) if flat_regions else np.zeros(0, np.int64), pa.int64())
@@ -118,15 +124,14 @@ def _described(levels):
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents asked for, by the digest that the first pass gave them."""
+    """Sets of the documents asked for, by the digest that the first pass gave them; other columns are passed on."""
     for batch in chunks(batches, "text"):
         sets = shingle_sets(batch.column("text"))
         wanted = list(zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True))
         keep = [i for i, s in enumerate(sets) if len(s) and digest(s) == wanted[i]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node").take(pa.array(keep, pa.int32())), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-            names=["node", "hashes"],
-        )
+        names = [c for c in batch.schema.names if c not in ("text", "d1", "d2")]
+        rest = [batch.column(c).take(pa.array(keep, pa.int32())) for c in names]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=[*names, "hashes"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,11 @@ def _links_within(rows: list) -> list[tuple[int, int]]:
 
 def _verify(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """``groups`` (g1, g2, node, component, role) with the sets joined in; the links found."""
-    rows = groups.join(sets, "node").select("g1", "g2", "node", "component", "role", "hashes")
+    return _linked(groups.join(sets, "node"))
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    rows = rows.select("g1", F.explode("g2s").alias("g2"), "node", "component", "role", "hashes")
     rows = rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "role", "node")
     return rows.mapInArrow(_joined, "a long, b long")
 
@@ -193,8 +202,7 @@ def _thin_links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         return None
     nodes = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     nodes = nodes.withColumn("node", F.xxhash64("d1", "d2"))
-    texts = docs.join(nodes.select("doc_id", "d1", "d2", "node"), "doc_id").select("node", "text", "d1", "d2")
-    items = texts.mapInArrow(_full_sets, "node long, hashes binary").mapInArrow(_exploded, "node long, h long").distinct()
+    items = _sets(docs, nodes.select("doc_id", "d1", "d2", "node")).mapInArrow(_exploded, "node long, h long").distinct()
     probes = thin.select(F.xxhash64("d1", "d2").alias("node")).join(items, "node").select(F.col("node").alias("a"), "h")
     counts = probes.join(items.withColumnRenamed("node", "b"), "h").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     sizes = nodes.select("node", "n")
@@ -209,6 +217,59 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], names=["node", "h"])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it if its rows, of a few numbers each, are counted to be few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _families(edges: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, family) of all nodes that meet, and the part of it in families of ``SMALL_BLOCKS`` blocks at most, with sizes."""
+    family = cut(connected_components(edges, "a", "b").withColumnRenamed("component", "family"))
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    return family, family.join(sizes.where(F.col("k") <= SMALL_BLOCKS * block), "family")
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Groups for pairs of blocks of (g1, k, node, component): nodes are dealt by hash, so blocks are of about equal size."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("k") / block)).withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = F.transform(others, lambda o: F.least("own_block", o) * F.col("blocks") + F.greatest("own_block", o))
+    return rows.select("g1", pairs.alias("g2s"), "node", "component", F.lit(2).alias("role"))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` (doc_id, d1, d2, ...) with the sets of their documents, made from the texts anew; without doc_id, d1, d2."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(nodes), "doc_id").drop("doc_id")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "d1", "d2"))
+    return rows.mapInArrow(_full_sets, f"{kept}, hashes binary")
+
+
+def _links_of_large(lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links in large families: stars first, then only nodes of different components."""
+    stars = lists.where("node <> center").select("center", "node").distinct()
+    partners = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    stars = stars.join(partners, "center").withColumn("g2", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = stars.select(F.col("center").alias("g1"), F.array("g2").alias("g2s"), "node", F.col("node").alias("component"), F.lit(1).alias("role"))
+    probes = partners.select(F.col("center").alias("g1"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("g2s"))
+    probes = probes.select("g1", "g2s", F.col("g1").alias("node"), F.col("g1").alias("component"), F.lit(0).alias("role"))
+    links = cut(_verify(rows.unionByName(probes), sets))
+
+    found = connected_components(links, "a", "b")
+    labelled = cut(lists.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")))
+    left = labelled.groupBy("h").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("a"), F.count(F.lit(1)).alias("k"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2"),
+    ).where("lo <> hi")
+    # Lists of the same nodes are one.
+    once = left.groupBy("k", "x1", "x2").agg(F.min(F.struct("h", "a")).alias("m")).select("m.h", "m.a", "k")
+    rest = cut(labelled.join(once, "h"))
+    family, small = _families(rest.select("a", F.col("node").alias("b")), block)
+    members = rest.select("node", "component").distinct()
+    near = small.join(members, "node").select(F.col("family").alias("g1"), "k", "node", "component")
+    far = rest.join(small, "node", "left_anti").select(F.col("h").alias("g1"), "k", "node", "component")
+    return links.unionByName(_verify(_blocks(near, block), sets)).unionByName(_verify(_blocks(far, block), sets))
+
+
 def similarity_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", levels=LEVELS, block: int = BLOCK
 ) -> DataFrame:
@@ -220,28 +281,28 @@ def similarity_components(
 
     usable = described.where("doc_id IS NOT NULL AND n_shingles > 0 AND NOT thin")
     levelled = usable.select("row", "n_shingles", F.posexplode("regions").alias("level", "region"))
-    items = levelled.select((F.col("row") * 2 + F.col("level")).alias("item"), F.explode("region").alias("h"))
-    counted = staged(items.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("item").alias("item")), "shingle-counts")
-    own = counted.where("df = 1").groupBy("item").agg(F.count(F.lit(1)).alias("own"))
+    levelled = levelled.withColumn("item", F.col("row") * 2 + F.col("level"))
+    items = levelled.select("item", F.explode("region").alias("h"))
+    counted = items.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("item").alias("item"))
+    # One table for both uses: (item, null, number of shingles of its own) and (null, shingle, its count).
+    single = F.col("df") == 1
+    counted = counted.select(F.when(single, F.col("item")).alias("item"), F.when(~single, F.col("h")).alias("h"), "df")
+    counted = staged(counted.groupBy("item", "h").agg(F.count(F.lit(1)).alias("own"), F.max("df").alias("df")), "shingle-counts")
+    own = counted.where("item IS NOT NULL").select("item", "own")
     # Documents that may link: at most a fifth of their shingles are their own.
-    open_items = (
-        levelled.select((F.col("row") * 2 + F.col("level")).alias("item"), "row", "n_shingles")
-        .join(own, "item", "left")
-        .select("item", "row", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"))
-        .where("own <= n_shingles div 5")
-    )
-    open_items = staged(open_items, "open")
+    open_items = levelled.select("item", "row", "n_shingles").join(own, "item", "left")
+    open_items = staged(open_items.fillna(0, ["own"]).where("own <= n_shingles div 5"), "open")
     narrow = described.select("row", "doc_id", "n_shingles", "d1", "d2")
-    open_rows = narrow.join(open_items.select("row").distinct(), "row", "left_semi")
+    open_rows = narrow.join(_small(open_items.select("row").distinct()), "row", "left_semi")
     # Equal sets are one node, named after one of their rows.
     nodes = open_rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     nodes = staged(nodes.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
 
     chosen = open_items.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    shared = counted.where("df > 1").select("h", "df")
-    chosen_regions = levelled.select((F.col("row") * 2 + F.col("level")).alias("item"), "region").join(chosen, "item")
-    met = chosen_regions.select("item", "row", "own", "n_shingles", F.explode("region").alias("h")).join(shared, "h")
-    prefixes = met.groupBy("item", "row", "own", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("p"))
+    shared = counted.where("h IS NOT NULL").select("h", "df")
+    regions = levelled.select("item", "region").join(_small(chosen.select("item")), "item")
+    met = regions.select("item", F.explode("region").alias("h")).join(shared, "h")
+    prefixes = met.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("p")).join(chosen, "item")
     prefixes = prefixes.select(
         F.col("row").alias("node"), "own", F.explode(F.expr("slice(p, 1, cast(n_shingles div 5 + 1 - own as int))")).alias("e")
     )
@@ -249,35 +310,14 @@ def similarity_components(
     center = lists.groupBy("h").agg(F.min(F.struct("own", "node")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
     lists = staged(lists.join(center.select("h", F.col("m.node").alias("center")), "h").select("h", "node", "center"), "lists")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        nodes.join(lists.select("node").distinct(), "node", "left_semi"), "doc_id"
-    )
-    sets = staged(texts.select("node", "text", "d1", "d2").mapInArrow(_full_sets, "node long, hashes binary"), "sets")
-
-    stars = lists.where("node <> center").select("center", "node").distinct()
-    partners = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    stars = stars.join(partners, "center").withColumn("g2", F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = stars.select(F.col("center").alias("g1"), "g2", "node", F.col("node").alias("component"), F.lit(1).alias("role"))
-    probes = partners.select(F.col("center").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("g2"))
-    probes = probes.select("g1", "g2", F.col("g1").alias("node"), F.col("g1").alias("component"), F.lit(0).alias("role"))
-    links = cut(_verify(rows.unionByName(probes), sets))
-
-    found = connected_components(links, "a", "b")
-    labelled = lists.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
-    left = labelled.groupBy("h").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"),
-        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2"),
-    ).where("lo <> hi")
-    once = left.groupBy("k", "x1", "x2").agg(F.min("h").alias("h"))
-    rest = labelled.join(once.select("h", F.ceil(F.col("k") / block).alias("blocks")), "h")
-    rest = rest.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select(
-        F.col("h").alias("g1"),
-        (F.least("own_block", "other") * F.col("blocks") + F.greatest("own_block", "other")).alias("g2"),
-        "node", "component", F.lit(2).alias("role"),
-    )
-    links = links.unionByName(_verify(rest, sets))
+    family, small = _families(lists.select(F.col("center").alias("a"), F.col("node").alias("b")), block)
+    groups = _blocks(small.select(F.col("family").alias("g1"), "k", "node", F.col("node").alias("component")), block)
+    links = _linked(_sets(docs, cut(nodes.join(groups, "node"))))
+    large = cut(family.join(small, "node", "left_anti").select("node"))
+    if large.limit(1).count():
+        sets = staged(_sets(docs, nodes.join(large, "node", "left_semi")), "sets")
+        links = links.unionByName(_links_of_large(lists.join(large, "node", "left_semi"), sets, block))
+    links = cut(links)
 
     names = nodes.select(F.col("node").alias("a"), F.xxhash64("d1", "d2").alias("name"))
     thin = _thin_links(docs, described)
