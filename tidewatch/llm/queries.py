@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, secret_scan
+from tidewatch.llm import bpe, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, secret_scan
+
+#: Vocabulary of the encoding query; a public file outside the repository, read by the driver.
+TOKENIZER = f"{os.environ.get('TOKENIZERS_FOLDER', '/opt/tokenizers')}/word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +39,18 @@ def op6_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op8_html_extraction(spark, folder):
+    return html_text.main_texts(_table(spark, folder, "pages"))
+
+
 def op9_secret_scan(spark, folder):
     return secret_scan.secret_report(_table(spark, folder, "documents"))
 
 
+def op10_bpe_encoding(spark, folder):
+    return bpe.encoding_report(_table(spark, folder, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -47,7 +59,9 @@ QUERIES: dict[str, Query] = {
         op3_line_dedup,
         op4_best_fit_packing,
         op6_exact_dedup,
+        op8_html_extraction,
         op9_secret_scan,
+        op10_bpe_encoding,
     )
 }
 
