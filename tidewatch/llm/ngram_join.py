@@ -10,9 +10,10 @@
 3. Equal sets are one node from here on. Nodes meet in lists, one for each prefix shingle; lists with nodes in common are
    a family. The sets of a family are sent once, in blocks of ``BLOCK``, one group per pair of blocks. A block
    is held as a prefix tree, see ``prefix_tree``.
-4. In a large family the nodes of each list are compared with the most central one first (fewest shingles of its own), in
-   parts of a block. Components follow; a list whose nodes are all in one component is done. What is left
-   falls into smaller families, or goes list by list in pairs of blocks.
+4. In a large family own shingles and lists are counted anew over the full sets. The nodes of each list are compared with the most
+   central one first (fewest shingles of its own), in parts of a block. Components follow; a list whose nodes are all in
+   one component is done. What is left falls into smaller families, or goes list by list in pairs of blocks. Nodes
+   with too many shingles of their own are left out of comparisons that their sizes rule out.
 
 Sets whose region is too small for step 2 (bad luck of hashing) are probed against the full sets of all documents.
 
@@ -143,7 +144,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     group = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("g1", "g2", "node", "component", "role", "hashes")]
+        columns = [batch.column(c).to_pylist() for c in ("g1", "g2", "node", "component", "role", "own", "hashes")]
         out: list[tuple[int, int]] = []
         for g1, g2, *row in zip(*columns, strict=True):
             if (g1, g2) != group:
@@ -159,6 +160,14 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _apart(n: int, own_n: int, m: int, own_m: int) -> bool:
+    """Whether sets of sizes n and m cannot link, of which so many elements are in no other set.
+
+    A link needs 4/9 of n + m in common, so the first set lacks a partner for (5n - 4m) / 9 elements at most.
+    """
+    return 9 * own_n > 5 * n - 4 * m or 9 * own_m > 5 * m - 4 * n
+
+
 def _links_within(rows: list) -> list[tuple[int, int]]:
     if len(rows) < 2:
         return []
@@ -171,14 +180,19 @@ def _links_within(rows: list) -> list[tuple[int, int]]:
         return x
 
     members = [r for r in rows if r[2] >= 1]
-    tree = PrefixTree([np.frombuffer(r[3], np.uint64) for r in members])
-    roots = [r[1] for r in members]
+    tree = PrefixTree([np.frombuffer(r[4], np.uint64) for r in members])
+    roots, owns, sizes = [r[1] for r in members], [r[3] for r in members], [len(r[4]) // 8 for r in members]
     out = []
-    for node, component, role, hashes in rows:
+    for node, component, role, own, hashes in rows:
         if role == 1:
             continue
         probe = np.frombuffer(hashes, np.uint64)
-        for i in tree.links(probe, skip=lambda i: root(roots[i]) == root(component)):
+        n = len(probe)
+
+        def left_out(i, own=own, n=n, component=component):
+            return _apart(n, own, sizes[i], owns[i]) or root(roots[i]) == root(component)
+
+        for i in tree.links(probe, skip=left_out):
             out.append((node, members[i][0]))
             parent[root(roots[i])] = root(component)
     return out
@@ -190,7 +204,7 @@ def _verify(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    rows = rows.select("g1", F.explode("g2s").alias("g2"), "node", "component", "role", "hashes")
+    rows = rows.select("g1", F.explode("g2s").alias("g2"), "node", "component", "role", "own", "hashes")
     rows = rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "role", "node")
     return rows.mapInArrow(_joined, "a long, b long")
 
@@ -202,7 +216,7 @@ def _thin_links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         return None
     nodes = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     nodes = nodes.withColumn("node", F.xxhash64("d1", "d2"))
-    items = _sets(docs, nodes.select("doc_id", "d1", "d2", "node")).mapInArrow(_exploded, "node long, h long").distinct()
+    items = _sets(docs, nodes.select("doc_id", "d1", "d2", "node")).mapInArrow(_exploded, "item long, h long").distinct().withColumnRenamed("item", "node")
     probes = thin.select(F.xxhash64("d1", "d2").alias("node")).join(items, "node").select(F.col("node").alias("a"), "h")
     counts = probes.join(items.withColumnRenamed("node", "b"), "h").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     sizes = nodes.select("node", "n")
@@ -214,7 +228,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, hashes in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
             values = np.frombuffer(hashes, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], names=["node", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], names=["item", "h"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -244,8 +258,43 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(_full_sets, f"{kept}, hashes binary")
 
 
-def _links_of_large(lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Links in large families: stars first, then only nodes of different components."""
+def _prefix_lists(items: DataFrame, shared: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(h, node, own, n_shingles, center): the lists of two nodes or more.
+
+    ``items`` (item, h), ``shared`` (h, df), ``chosen`` (item, node, n_shingles, own). The prefix of an item starts with its own
+    shingles, which are in no list, and goes on with the rarest shared ones.
+    """
+    met = items.join(shared, "h").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("p"))
+    prefixes = met.join(chosen, "item").select(
+        "node", "own", "n_shingles", F.explode(F.expr("slice(p, 1, cast(n_shingles div 5 + 1 - own as int))")).alias("e")
+    )
+    lists = prefixes.select("node", "own", "n_shingles", F.col("e.h").alias("h"))
+    center = lists.groupBy("h").agg(F.min(F.struct("own", "node")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return lists.join(center.select("h", F.col("m.node").alias("center")), "h")
+
+
+def _counted(items: DataFrame) -> DataFrame:
+    """One table for two uses: (item, null, number of shingles of its own) and (null, shingle, its count)."""
+    counted = items.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("item").alias("item"))
+    single = F.col("df") == 1
+    counted = counted.select(F.when(single, F.col("item")).alias("item"), F.when(~single, F.col("h")).alias("h"), "df")
+    return staged(counted.groupBy("item", "h").agg(F.count(F.lit(1)).alias("own"), F.max("df").alias("df")), "shingle-counts")
+
+
+def _links_of_large(sets: DataFrame, block: int) -> DataFrame:
+    """Links in large families, from their full sets: own shingles and prefixes are counted anew, without regions.
+
+    A node with ``own`` shingles that no other has can only link with one that is not too large: see ``_apart``.
+    """
+    items = sets.select("node", "hashes").mapInArrow(_exploded, "item long, h long")
+    counted = _counted(items)
+    own = counted.where("item IS NOT NULL").select("item", "own")
+    sizes = sets.select(F.col("node").alias("item"), "node", F.expr("cast(octet_length(hashes) div 8 as long)").alias("n_shingles"))
+    chosen = cut(sizes.distinct().join(own, "item", "left").fillna(0, ["own"]).where("own <= n_shingles div 5"))
+    shared = counted.where("h IS NOT NULL").select("h", "df")
+    lists = staged(_prefix_lists(items.distinct().join(chosen.select("item"), "item"), shared, chosen), "full-lists")
+    sets = sets.join(chosen.select("node", "own"), "node")
+
     stars = lists.where("node <> center").select("center", "node").distinct()
     partners = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     stars = stars.join(partners, "center").withColumn("g2", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -282,12 +331,7 @@ def similarity_components(
     usable = described.where("doc_id IS NOT NULL AND n_shingles > 0 AND NOT thin")
     levelled = usable.select("row", "n_shingles", F.posexplode("regions").alias("level", "region"))
     levelled = levelled.withColumn("item", F.col("row") * 2 + F.col("level"))
-    items = levelled.select("item", F.explode("region").alias("h"))
-    counted = items.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("item").alias("item"))
-    # One table for both uses: (item, null, number of shingles of its own) and (null, shingle, its count).
-    single = F.col("df") == 1
-    counted = counted.select(F.when(single, F.col("item")).alias("item"), F.when(~single, F.col("h")).alias("h"), "df")
-    counted = staged(counted.groupBy("item", "h").agg(F.count(F.lit(1)).alias("own"), F.max("df").alias("df")), "shingle-counts")
+    counted = _counted(levelled.select("item", F.explode("region").alias("h")))
     own = counted.where("item IS NOT NULL").select("item", "own")
     # Documents that may link: at most a fifth of their shingles are their own.
     open_items = levelled.select("item", "row", "n_shingles").join(own, "item", "left")
@@ -298,25 +342,19 @@ def similarity_components(
     nodes = open_rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     nodes = staged(nodes.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
 
-    chosen = open_items.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    chosen = open_items.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     shared = counted.where("h IS NOT NULL").select("h", "df")
     regions = levelled.select("item", "region").join(_small(chosen.select("item")), "item")
-    met = regions.select("item", F.explode("region").alias("h")).join(shared, "h")
-    prefixes = met.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("p")).join(chosen, "item")
-    prefixes = prefixes.select(
-        F.col("row").alias("node"), "own", F.explode(F.expr("slice(p, 1, cast(n_shingles div 5 + 1 - own as int))")).alias("e")
-    )
-    lists = prefixes.select("node", "own", F.col("e.h").alias("h"))
-    center = lists.groupBy("h").agg(F.min(F.struct("own", "node")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    lists = staged(lists.join(center.select("h", F.col("m.node").alias("center")), "h").select("h", "node", "center"), "lists")
+    lists = _prefix_lists(regions.select("item", F.explode("region").alias("h")), shared, chosen)
+    lists = staged(lists.select("node", "center").distinct(), "lists")
 
     family, small = _families(lists.select(F.col("center").alias("a"), F.col("node").alias("b")), block)
     groups = _blocks(small.select(F.col("family").alias("g1"), "k", "node", F.col("node").alias("component")), block)
-    links = _linked(_sets(docs, cut(nodes.join(groups, "node"))))
+    links = _linked(_sets(docs, cut(nodes.join(groups, "node"))).withColumn("own", F.lit(0).cast("long")))
     large = cut(family.join(small, "node", "left_anti").select("node"))
     if large.limit(1).count():
         sets = staged(_sets(docs, nodes.join(large, "node", "left_semi")), "sets")
-        links = links.unionByName(_links_of_large(lists.join(large, "node", "left_semi"), sets, block))
+        links = links.unionByName(_links_of_large(sets, block))
     links = cut(links)
 
     names = nodes.select(F.col("node").alias("a"), F.xxhash64("d1", "d2").alias("name"))
