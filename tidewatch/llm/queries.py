@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, secret_scan
+from tidewatch.llm import attention_lm, bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, secret_scan
 
-#: Vocabulary of the encoding query; a public file outside the repository, read by the driver.
+#: Vocabularies of the encoding and scoring queries; public files outside the repository, read by the driver.
 TOKENIZER = f"{os.environ.get('TOKENIZERS_FOLDER', '/opt/tokenizers')}/word_bpe_49k.json"
+SUBWORDS = f"{os.environ.get('TOKENIZERS_FOLDER', '/opt/tokenizers')}/byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +36,18 @@ def op4_best_fit_packing(spark, folder):
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+def op5_embedding_near_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op7_lm_scoring(spark, folder):
+    return attention_lm.score_documents(_table(spark, folder, "documents"), SUBWORDS)
+
+
 def op8_html_extraction(spark, folder):
     return html_text.main_texts(_table(spark, folder, "pages"))
 
@@ -58,7 +67,9 @@ QUERIES: dict[str, Query] = {
         op2_language_id,
         op3_line_dedup,
         op4_best_fit_packing,
+        op5_embedding_near_dedup,
         op6_exact_dedup,
+        op7_lm_scoring,
         op8_html_extraction,
         op9_secret_scan,
         op10_bpe_encoding,
