@@ -80,7 +80,9 @@ def test_prefix_tree():
     for probe in sets[:40]:
         a = set(probe.tolist())
         wanted = [i for i, s in enumerate(sets) if 100 * len(a & set(s.tolist())) >= 80 * len(a | set(s.tolist()))]
-        assert sorted(tree.links(probe)) == wanted
+        assert sorted(tree.order[k] for k in tree.links(probe)) == wanted
+        some = rng.random(len(sets)) < 0.3
+        assert sorted(tree.order[k] for k in tree.links(probe, some[tree.order])) == [i for i in wanted if some[i]]
 
 
 SECRETS = [

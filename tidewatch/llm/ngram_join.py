@@ -12,7 +12,7 @@
    is held as a prefix tree, see ``prefix_tree``.
 4. In a large family own shingles and lists are counted anew over the full sets. The nodes of each list are compared with the most
    central one first (fewest shingles of its own), in parts of a block. Components follow; a list whose nodes are all in
-   one component is done. What is left falls into smaller families, or goes list by list in pairs of blocks. Nodes
+   one component is done. What is left goes by family or list by list, in pairs of blocks. Nodes
    with too many shingles of their own are left out of comparisons that their sizes rule out.
 
 Sets whose region is too small for step 2 (bad luck of hashing) are probed against the full sets of all documents.
@@ -40,6 +40,8 @@ WORDS = 5
 BLOCK = 128
 #: Families of nodes that meet anywhere are compared as one if they fill at most this many blocks; others list by list.
 SMALL_BLOCKS = 4
+#: Blocks of what is left of a large family are larger by this factor; most of its nodes are known to be linked.
+LARGE_BLOCKS = 8
 #: Rows of a few numbers that are broadcast at the most (under 100 MB); more are joined by shuffle, with the same result.
 BROADCAST_ROWS = 2_000_000
 #: (smallest size, share of the hash range). Sizes overlap by a quarter, so sets that may link have a level in common.
@@ -160,41 +162,34 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _apart(n: int, own_n: int, m: int, own_m: int) -> bool:
-    """Whether sets of sizes n and m cannot link, of which so many elements are in no other set.
+def _apart(n: int, own_n: int, m: np.ndarray, own_m: np.ndarray) -> np.ndarray:
+    """Where sets of sizes n and m cannot link, of which so many elements are in no other set.
 
     A link needs 4/9 of n + m in common, so the first set lacks a partner for (5n - 4m) / 9 elements at most.
     """
-    return 9 * own_n > 5 * n - 4 * m or 9 * own_m > 5 * m - 4 * n
+    return (9 * own_n > 5 * n - 4 * m) | (9 * own_m > 5 * m - 4 * n)
 
 
 def _links_within(rows: list) -> list[tuple[int, int]]:
     if len(rows) < 2:
         return []
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     members = [r for r in rows if r[2] >= 1]
     tree = PrefixTree([np.frombuffer(r[4], np.uint64) for r in members])
-    roots, owns, sizes = [r[1] for r in members], [r[3] for r in members], [len(r[4]) // 8 for r in members]
+    # Component of each node, by number; those of a group become one where a link is found.
+    number = {c: i for i, c in enumerate(dict.fromkeys(r[1] for r in rows))}
+    alias = np.arange(len(number))
+    component = np.array([number[members[i][1]] for i in tree.order])
+    own = np.array([members[i][3] for i in tree.order], np.int64)
     out = []
-    for node, component, role, own, hashes in rows:
+    for node, its_component, role, its_own, hashes in rows:
         if role == 1:
             continue
         probe = np.frombuffer(hashes, np.uint64)
-        n = len(probe)
-
-        def left_out(i, own=own, n=n, component=component):
-            return _apart(n, own, sizes[i], owns[i]) or root(roots[i]) == root(component)
-
-        for i in tree.links(probe, skip=left_out):
-            out.append((node, members[i][0]))
-            parent[root(roots[i])] = root(component)
+        me = number[its_component]
+        wanted = (alias[component] != alias[me]) & ~_apart(len(probe), its_own, tree.sizes, own)
+        for place in tree.links(probe, wanted, skip=lambda k, me=me: alias[component[k]] == alias[me]):
+            out.append((node, members[tree.order[place]][0]))
+            alias[alias == alias[component[place]]] = alias[me]
     return out
 
 
@@ -292,8 +287,9 @@ def _links_of_large(sets: DataFrame, block: int) -> DataFrame:
     sizes = sets.select(F.col("node").alias("item"), "node", F.expr("cast(octet_length(hashes) div 8 as long)").alias("n_shingles"))
     chosen = cut(sizes.distinct().join(own, "item", "left").fillna(0, ["own"]).where("own <= n_shingles div 5"))
     shared = counted.where("h IS NOT NULL").select("h", "df")
-    lists = staged(_prefix_lists(items.distinct().join(chosen.select("item"), "item"), shared, chosen), "full-lists")
     sets = sets.join(chosen.select("node", "own"), "node")
+    items = sets.select("node", "hashes").mapInArrow(_exploded, "item long, h long")
+    lists = staged(_prefix_lists(items, shared, chosen), "full-lists")
 
     stars = lists.where("node <> center").select("center", "node").distinct()
     partners = stars.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
@@ -312,11 +308,18 @@ def _links_of_large(sets: DataFrame, block: int) -> DataFrame:
     # Lists of the same nodes are one.
     once = left.groupBy("k", "x1", "x2").agg(F.min(F.struct("h", "a")).alias("m")).select("m.h", "m.a", "k")
     rest = cut(labelled.join(once, "h"))
-    family, small = _families(rest.select("a", F.col("node").alias("b")), block)
-    members = rest.select("node", "component").distinct()
-    near = small.join(members, "node").select(F.col("family").alias("g1"), "k", "node", "component")
-    far = rest.join(small, "node", "left_anti").select(F.col("h").alias("g1"), "k", "node", "component")
-    return links.unionByName(_verify(_blocks(near, block), sets)).unionByName(_verify(_blocks(far, block), sets))
+    # Either all nodes of a family meet in large blocks, or list by list in small ones; whichever sends fewer sets.
+    family = connected_components(rest.select("a", F.col("node").alias("b")), "a", "b").withColumnRenamed("component", "family")
+    placed = cut(rest.join(family, "node"))
+    members = placed.select("family", "node", "component").distinct()
+    whole = members.groupBy("family").agg(F.count(F.lit(1)).alias("f"))
+    by_list = placed.groupBy("family").agg(F.sum(F.ceil(F.col("k") / block)).alias("sent"))
+    better = F.col("f") * F.ceil(F.col("f") / (LARGE_BLOCKS * block)) <= F.col("sent")
+    plan = cut(whole.join(by_list, "family").select("family", "f", better.alias("whole")))
+    near = members.join(plan.where("whole"), "family").select(F.col("family").alias("g1"), F.col("f").alias("k"), "node", "component")
+    far = placed.join(plan.where("NOT whole"), "family").select(F.col("h").alias("g1"), "k", "node", "component")
+    found = _verify(_blocks(near, LARGE_BLOCKS * block), sets).unionByName(_verify(_blocks(far, block), sets))
+    return links.unionByName(found)
 
 
 def similarity_components(
