@@ -49,7 +49,7 @@ def stringify_amounts(df: DataFrame) -> DataFrame:
 
 
 def dedup_swaps(df: DataFrame) -> DataFrame:
-    """One row per key: the smallest by block, pool and the other columns, nulls first.
+    """One row per key: the smallest by block number, pool and the other columns, nulls first.
 
     An aggregate instead of ``row_number``: copies collapse before the shuffle, so a key that
     holds a large part of the table still sends one row per task.
@@ -64,7 +64,9 @@ def dedup_swaps(df: DataFrame) -> DataFrame:
     ]
     if not ordered:
         return df.dropDuplicates(key)
-    kept = df.groupBy(*key).agg(F.min(F.struct(*ordered)).alias("kept"))
+    # Blocks as text would put 10000000 before 9999999.
+    block = [long_of(df, "block_number").alias("_block")] if "block_number" in ordered else []
+    kept = df.groupBy(*key).agg(F.min(F.struct(*block, *ordered)).alias("kept"))
     return kept.select(
         *[F.col(name) if name in key else F.col(f"kept.{name}") for name in df.columns]
     )

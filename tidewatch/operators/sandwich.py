@@ -47,13 +47,23 @@ class SandwichSettings:
 
 
 def order_columns(df: DataFrame) -> list[str]:
-    """Columns that put the swaps of a pool in one total order, independent of input order."""
+    """Columns that put the swaps of a pool in one total order, independent of input order.
+
+    Block number and log index count as numbers, also where they are stored as text: see ``_position``.
+    """
     if {"block_number", "log_index"} <= set(df.columns):
         return ["block_number", "log_index", "tx_hash"]
     optional = ["block_number", "tx_hash", "amount0", "amount1"]
     return [name for name in optional if name in df.columns]
 
 
+def _position(df: DataFrame) -> Column:
+    """Time and order columns of a swap, to be compared as one value."""
+    numbers = {"block_number", "log_index"}
+    order = [long_of(df, name).alias(name) if name in numbers else F.col(name) for name in order_columns(df)]
+    return F.struct(long_of(df, "timestamp").alias("ts"), *order)
+
+
 def _bucket(seconds: Column, width: int) -> Column:
     return F.floor(seconds / F.lit(width))
 
@@ -70,7 +80,7 @@ def tradable_swaps(df: DataFrame, settings: SandwichSettings) -> DataFrame:
         "sender",
         double_of(df, "amount_usd").alias("usd"),
         trade_side(double_of(df, "amount0"), double_of(df, "amount1")).alias("side"),
-        F.struct(long_of(df, "timestamp").alias("ts"), *order_columns(df)).alias("seq"),
+        _position(df).alias("seq"),
     ).where(
         (F.col("usd") >= float(settings.min_usd))
         & F.col("pool").isNotNull()

@@ -67,7 +67,7 @@ def _chunk(seconds: Column) -> Column:
 def _trades(df: DataFrame) -> DataFrame:
     require_columns(df, WASH_INPUT)
     sqrt_price = F.col("sqrtPriceX96") if "sqrtPriceX96" in df.columns else F.lit(None).cast("string")
-    extra = [name for name in ["block_number", "log_index"] if name in df.columns]
+    extra = [long_of(df, name).alias(name) for name in ["block_number", "log_index"] if name in df.columns]
     return df.select(
         "pool",
         "sender",

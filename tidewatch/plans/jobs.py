@@ -6,14 +6,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from tidewatch.operators import filters, quality
 from tidewatch.operators.cleaning import clean_swaps, project_canonical
-from tidewatch.operators.profiling import wash_sorted
+from tidewatch.operators.profiling import sandwich_by_pool, wash_sorted
 from tidewatch.operators.sandwich import SandwichSettings, sandwich_candidates
 from tidewatch.operators.wash import WashSettings, wash_trades
-from tidewatch.schemas import RAW_SWAP_SCHEMA, SANDWICH_SCHEMA, WASH_SCHEMA
+from tidewatch.schemas import SANDWICH_SCHEMA, WASH_SCHEMA
 from tidewatch.session import cut
 from tidewatch.sources import parquet, raw_json, reports
 
@@ -32,7 +31,7 @@ class CleanPaths:
 def fetch_job(spark: SparkSession, landed: str, swaps: str) -> None:
     """Landed JSON payloads to a swap table in canonical column order."""
     rows = raw_json.normalise_payloads(raw_json.read_payloads(spark, landed))
-    parquet.write_table(project_canonical(rows), swaps)
+    parquet.write_swaps(project_canonical(rows), swaps)
 
 
 def clean_job(
@@ -41,18 +40,17 @@ def clean_job(
     out: CleanPaths,
     min_usd: float = 0.0,
     strict: bool = False,
-    schema: T.StructType = RAW_SWAP_SCHEMA,
 ) -> None:
     """Validates and cleans. Invalid rows are reported; they leave the cleaned table only where
-    ``rejected`` names a table to quarantine them in."""
-    source = parquet.read_swaps(spark, raw, schema)
+    ``rejected`` names a table to quarantine them in. The cleaned table has the canonical typed columns."""
+    source = parquet.read_as_text(spark, raw)
     checked = quality.with_swap_errors(source)
     kept = source
     if out.rejected:
         kept, rejected = quality.quarantine(checked)
         parquet.write_table(rejected, out.rejected)
     cleaned = filters.min_usd(clean_swaps(kept), min_usd)
-    parquet.write_swaps(cleaned, out.swaps)
+    parquet.write_swaps(project_canonical(cleaned), out.swaps)
     text = reports.cleaning_report(source, checked, ["tx_hash", "timestamp"])
     reports.save_report(spark, text, out.report)
     if strict and not quality.validation_summary(checked).first()["is_valid"]:
@@ -67,12 +65,14 @@ def sandwich_job(
     settings: SandwichSettings = SandwichSettings(),
     min_confidence: float = 0.0,
 ) -> DataFrame:
-    """Saves the candidates that reach ``min_confidence``; the report covers all of them."""
+    """Saves the candidates that reach ``min_confidence``; the report covers all of them, and all pools are in the
+    table ``report`` + ``-pools``."""
     source = _swaps(spark, swaps)
     found = cut(sandwich_candidates(source, settings))
     parquet.write_table(filters.min_confidence(found, min_confidence), candidates)
     text = reports.sandwich_report(found, source, settings, min_confidence)
     reports.save_report(spark, text, report)
+    parquet.write_table(sandwich_by_pool(found), f"{report}-pools")
     return spark.read.schema(SANDWICH_SCHEMA).parquet(candidates)
 
 

@@ -32,10 +32,15 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: the session's checkpoint folder, or a new one where none is set."""
+    """Folder all executors see: the session's checkpoint folder.
+
+    A new local one serves where none is set and all executors are this machine; elsewhere that is an error.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

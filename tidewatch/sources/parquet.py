@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.labels import utc_date
-from tidewatch.schemas import SWAP_SCHEMA
+from tidewatch.schemas import SWAP_COLUMNS, SWAP_SCHEMA
 
 
 def read_swaps(spark: SparkSession, path: str, schema: T.StructType = SWAP_SCHEMA) -> DataFrame:
@@ -15,6 +15,17 @@ def read_swaps(spark: SparkSession, path: str, schema: T.StructType = SWAP_SCHEM
     return spark.read.schema(schema).parquet(path)
 
 
+def read_as_text(spark: SparkSession, path: str) -> DataFrame:
+    """A raw swap table as it is stored, every canonical column as text; absent ones are null."""
+    stored = spark.read.parquet(path)
+    return stored.select(
+        *[
+            (F.col(name).cast("string") if name in stored.columns else F.lit(None).cast("string")).alias(name)
+            for name in SWAP_COLUMNS
+        ]
+    )
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replaces the table at ``path``."""
     df.write.mode("overwrite").parquet(path)

@@ -11,6 +11,7 @@ from tidewatch.operators import quality as Q
 from tidewatch.operators.sandwich import SandwichSettings
 from tidewatch.operators.wash import WashSettings
 
+#: Pools that the page of a report lists; it says how many more there are, and the by-pool table has all.
 POOLS_LISTED = 1000
 
 
@@ -57,7 +58,11 @@ def _has_numbers(df: DataFrame) -> bool:
 
 
 def sandwich_report(
-    candidates: DataFrame, swaps: DataFrame, settings: SandwichSettings, min_confidence: float = 0.0
+    candidates: DataFrame,
+    swaps: DataFrame,
+    settings: SandwichSettings,
+    min_confidence: float = 0.0,
+    pools_listed: int = POOLS_LISTED,
 ) -> str:
     run: Row = P.sandwich_summary(candidates, swaps, settings.window_seconds, settings.min_usd).first()
     lines = [
@@ -84,9 +89,8 @@ def sandwich_report(
         ]
         lines += ["## Top candidates", ""]
         lines += _table(["Rank", "Attacker", "Pool", "Confidence", "Profit (USD)", "Victim"], best)
-        # A page of pools; the full list is the by-pool table itself.
         pools = P.sandwich_by_pool(candidates).withColumn("pool", short_label(F.col("pool")))
-        shown = pools.limit(POOLS_LISTED).collect()
+        shown = pools.limit(pools_listed).collect()
         lines += ["## By pool", ""]
         lines += _table(
             ["Pool", "Candidates", "Mean confidence", "Profit (USD)"],
@@ -95,6 +99,9 @@ def sandwich_report(
                 for p in shown
             ],
         )
+        more = pools.count() - len(shown)
+        if more:
+            lines += [f"... and {more:,} more pools; the by-pool table has them all", ""]
     return "\n".join(lines)
 
 
