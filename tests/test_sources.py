@@ -69,8 +69,8 @@ def test_fetch_job_and_stream_agree(spark, tmp_path):
     landed.mkdir()
     (landed / "a.json").write_text(json.dumps(PAYLOAD) + "\n")
     jobs.fetch_job(spark, str(landed), str(tmp_path / "batch"))
-    batch = parquet.read_swaps(spark, str(tmp_path / "batch"))
-    assert batch.drop("day").columns == SWAP_COLUMNS
+    batch = parquet.read_swaps(spark, str(tmp_path / "batch")).drop("day")
+    assert batch.columns == SWAP_COLUMNS
     paths = [str(landed), str(tmp_path / "stream"), str(tmp_path / "progress")]
     start_landing(spark, *paths).awaitTermination(120)
     (landed / "b.json").write_text(json.dumps({**PAYLOAD, "tick": "6"}) + "\n")
