@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import pick
+from tidewatch.llm.tables import pick, staged
 
 GROUP = 64
 #: Share of the pages with different titles that must have the same text for it to be template, and their least number.
 TEMPLATE_SHARE = 0.5
 TEMPLATE_PAGES = 3
+#: Hosts with their number of groups are broadcast up to this many (under 100 MB) and joined by shuffle beyond.
+BROADCAST_HOSTS = 1_000_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math object".split())
@@ -57,11 +59,12 @@ _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "text", "size")
+    __slots__ = ("tag", "attributes", "children", "text", "size", "inner", "label", "shape")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
         self.text, self.size = "", 1
+        self.inner, self.label, self.shape = [], (tag, attributes.get("class", "")), 0
 
 
 def parse(source: str) -> Node:
@@ -120,7 +123,7 @@ def _close_within(stack: list[Node], names: set[str], scope: set[str]) -> None:
 
 
 def _measure(root: Node) -> None:
-    """Text and number of nodes of every subtree, without recursion: pages may be nested deeply."""
+    """Text, number of nodes and shape of every subtree, without recursion: pages may be nested deeply."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -137,14 +140,12 @@ def _measure(root: Node) -> None:
             else:
                 node.size += c.size
         node.text = _BLANK.sub(" ", "".join(parts)).strip(" ")
+        node.inner = [c for c in node.children if isinstance(c, Node)]
+        node.shape = hash((node.label, *[c.shape for c in node.inner]))
 
 
 def elements(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node)]
-
-
-def _label(node: Node) -> tuple[str, str]:
-    return node.tag, node.attributes.get("class", "")
+    return node.inner
 
 
 #: Trees of more nodes than this are aligned level by level in order only, so a huge page takes linear time.
@@ -152,37 +153,64 @@ MATCHED_NODES = 3000
 MATCHED_DEPTH = 60
 
 
-def match_trees(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
+def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: size of the largest order-preserving match of two trees, and its pairs."""
-    if _label(a) != _label(b):
-        return 0, []
-    xs, ys = elements(a), elements(b)
-    pairs = [(a, b)]
-    if not xs or not ys or depth > MATCHED_DEPTH:
-        return 1, pairs
-    if len(xs) * len(ys) > MATCHED_NODES or a.size * b.size > MATCHED_NODES**2:
-        found = [match_trees(x, y, depth + 1) for x, y in zip(xs, ys, strict=False)]
-        return 1 + sum(f[0] for f in found), pairs + [p for f in found for p in f[1]]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    inner = {}
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            if _label(x) == _label(y):
-                inner[i, j] = match_trees(x, y, depth + 1)
-                across = best[i][j] + inner[i, j][0]
-            else:
-                across = 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], across)
-    i, j = len(xs), len(ys)
-    while i and j:
-        if (i - 1, j - 1) in inner and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            pairs += inner[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
+    sizes: dict[tuple[int, int], int] = {}
+    size = _match_size(a, b, 0, sizes)
+    pairs, todo = [], [(a, b, 0)] if size else []
+    while todo:
+        x, y, depth = todo.pop()
+        pairs.append((x, y))
+        if x.shape == y.shape:
+            todo += [(c, d, depth + 1) for c, d in zip(x.inner, y.inner, strict=True)]
+        elif depth <= MATCHED_DEPTH and x.inner and y.inner:
+            if _too_large(x, y):
+                todo += [(c, d, depth + 1) for c, d in zip(x.inner, y.inner, strict=False) if c.label == d.label]
+                continue
+            best, i, j = _align(x, y, depth, sizes), len(x.inner), len(y.inner)
+            while i and j:
+                c, d = x.inner[i - 1], y.inner[j - 1]
+                if c.label == d.label and best[i][j] == best[i - 1][j - 1] + _match_size(c, d, depth + 1, sizes):
+                    todo.append((c, d, depth + 1))
+                    i, j = i - 1, j - 1
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+    return size, pairs
+
+
+def _too_large(a: Node, b: Node) -> bool:
+    return len(a.inner) * len(b.inner) > MATCHED_NODES or a.size * b.size > MATCHED_NODES**2
+
+
+def _match_size(a: Node, b: Node, depth: int, sizes: dict) -> int:
+    if a.label != b.label:
+        return 0
+    # Trees of one shape match in full.
+    if a.shape == b.shape:
+        return a.size
+    if not a.inner or not b.inner or depth > MATCHED_DEPTH:
+        return 1
+    key = (id(a), id(b))
+    if key not in sizes:
+        if _too_large(a, b):
+            sizes[key] = 1 + sum(_match_size(c, d, depth + 1, sizes) for c, d in zip(a.inner, b.inner, strict=False))
         else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
+            sizes[key] = 1 + _align(a, b, depth, sizes)[-1][-1]
+    return sizes[key]
+
+
+def _align(a: Node, b: Node, depth: int, sizes: dict) -> list[list[int]]:
+    """Best sums of matches of the first i children of ``a`` and the first j of ``b``."""
+    best = [[0] * (len(b.inner) + 1)]
+    for x in a.inner:
+        above, row = best[-1], [0]
+        for j, y in enumerate(b.inner):
+            across = above[j] + _match_size(x, y, depth + 1, sizes) if x.label == y.label else 0
+            row.append(max(above[j + 1], row[j], across))
+        best.append(row)
+    return best
 
 
 def _title(page: Node) -> str:
@@ -317,9 +345,13 @@ def main_texts(pages: DataFrame, group: int = GROUP) -> DataFrame:
     pages = pick(pages, page_id="page_id", url="url", html="html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.withColumn("host", host)
-    parts = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts")).withColumnRenamed("host", "h")
+    parts = staged(pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts")).withColumnRenamed("host", "h"), "hosts")
+    if parts.count() <= BROADCAST_HOSTS:
+        parts = F.broadcast(parts)
     dealt = pages.join(parts, F.col("host") == F.col("h")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
     id_type = pages.schema["page_id"].dataType.simpleString()
-    return dealt.select("page_id", "url", "html", "host", "part").groupBy("host", "part").applyInArrow(
+    # Dealt by both, or all groups of a host would meet in one task.
+    dealt = dealt.select("page_id", "url", "html", "host", "part").repartition("host", "part")
+    return dealt.groupBy("host", "part").applyInArrow(
         _extract, f"page_id {id_type}, url string, text string, n_chars long"
     )
