@@ -111,3 +111,14 @@ def test_swap_values(table):
     assert row["abs_amount0"] == Decimal("423.467818")
     assert row["abs_amount1"] == Decimal("0.143747594817866756")
     assert row["usd_value"] is None
+
+
+def test_value_range_counts_every_digit(spark):
+    texts = ["999." + "9" * 20, "1000", "1000." + "0" * 20 + "1", "1e20", "9" * 25, "-" + "9" * 25, "-1000." + "0" * 19 + "6", None, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "amount_usd string")
+    found = lambda *bounds: [r.amount_usd for r in filters.by_value_range(df, *bounds).collect()]
+    thousand = Decimal("1000")
+    assert found(thousand) == [texts[1], texts[2], texts[3], texts[4]]
+    assert found(None, thousand) == [texts[0], texts[1], texts[5], texts[6]]
+    assert found(-thousand, thousand) == [texts[0], texts[1]]
+    assert found(thousand, thousand) == [texts[1]]

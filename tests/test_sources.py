@@ -8,7 +8,7 @@ from tidewatch.operators.filters import pool_time_range
 from tidewatch.plans import jobs
 from tidewatch.schemas import SWAP_COLUMNS
 from tidewatch.sources import parquet, raw_json
-from tidewatch.streaming.landing import start_landing
+from tidewatch.streaming.landing import start_landing, start_rejected
 
 PAYLOAD = {
     "id": tx(1) + "#3",
@@ -132,3 +132,21 @@ def test_detector_jobs(spark, table, tmp_path):
     assert len(found) == 1 and "Suspicious volume: 8,000.00 USD" in text
     found, text = run(jobs.wash_job, "wash2", 0.99)
     assert found == [] and "No candidates match." in text
+
+
+def test_broken_lines_are_kept_apart(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    good = '{"id": "0x1#0", "timestamp": "1700000000", "pool": {"id": "0xa"}}'
+    broken = ['{"id": "0x2", "timest', "no json", "5", '"text"']
+    (landed / "a.json").write_text("\n".join([good, *broken, "", "  ", f"[{good}, {good}]"]) + "\n")
+    raw = str(tmp_path / "raw")
+    assert jobs.fetch_job(spark, str(landed), raw) == len(broken)
+    assert [r.pool for r in spark.read.parquet(raw).collect()] == ["0xa"] * 3
+    assert sorted(r.line for r in spark.read.parquet(f"{raw}-rejected").collect()) == sorted(broken)
+    paths = [str(tmp_path / name) for name in ["stream", "check", "stream-rejected", "check-rejected"]]
+    start_landing(spark, str(landed), *paths[:2], by_day=True).awaitTermination(120)
+    start_rejected(spark, str(landed), *paths[2:]).awaitTermination(120)
+    stream = spark.read.parquet(paths[0])
+    assert stream.count() == 3 and "day" in stream.columns
+    assert sorted(r.line for r in spark.read.parquet(paths[2]).collect()) == sorted(broken)

@@ -48,15 +48,31 @@ def by_sender(df: DataFrame, sender: str) -> DataFrame:
 def by_value_range(
     df: DataFrame, low: Decimal | None = None, high: Decimal | None = None
 ) -> DataFrame:
-    """Exact decimal bounds, both included, each optional."""
-    usd = decimal_of(df, "amount_usd")
+    """Exact decimal bounds, both included, each optional.
+
+    Digits beyond the 18th place of a text count as well, and a number too long for a decimal lies beyond every bound.
+    A text with an exponent is taken at 18 places.
+    """
+    usd, past = decimal_of(df, "amount_usd"), _past_decimal(df, "amount_usd")
+    huge = F.when(usd.isNull(), double_of(df, "amount_usd"))
     if low is not None:
-        df = df.where(usd >= F.lit(str(low)).cast(USD))
+        bound = F.lit(str(low)).cast(USD)
+        df = df.where((usd > bound) | ((usd == bound) & (past >= 0)) | (huge > 0))
     if high is not None:
-        df = df.where(usd <= F.lit(str(high)).cast(USD))
+        bound = F.lit(str(high)).cast(USD)
+        df = df.where((usd < bound) | ((usd == bound) & (past <= 0)) | (huge < 0))
     return df
 
 
+def _past_decimal(df: DataFrame, name: str) -> Column:
+    """Sign of what a number text is beyond its value at 18 places: half and more was rounded away from zero."""
+    if df.schema[name].dataType.typeName() != "string":
+        return F.lit(0)
+    rest = F.regexp_extract(name, "[.][0-9]{18}([0-9]+) *$", 1)
+    away = F.when(rest.rlike("^[5-9]"), -1).when(rest.rlike("[1-9]"), 1).otherwise(0)
+    return F.when(F.startswith(F.ltrim(name), F.lit("-")), -away).otherwise(away)
+
+
 def min_confidence(df: DataFrame, minimum: float) -> DataFrame:
     return df.where(F.col("confidence_score") >= minimum) if minimum > 0 else df
 

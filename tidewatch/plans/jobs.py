@@ -28,10 +28,16 @@ class CleanPaths:
     rejected: str | None = None
 
 
-def fetch_job(spark: SparkSession, landed: str, swaps: str) -> None:
-    """Landed JSON payloads to a swap table in canonical column order."""
-    rows = raw_json.normalise_payloads(raw_json.read_payloads(spark, landed))
-    parquet.write_swaps(project_canonical(rows), swaps)
+def fetch_job(spark: SparkSession, landed: str, swaps: str, rejected: str | None = None) -> int:
+    """Landed JSON payloads to a swap table in canonical column order.
+
+    Lines that are no JSON object go to the table ``rejected`` (``swaps`` + ``-rejected`` by default). Returns their number.
+    """
+    lines = raw_json.read_lines(spark, landed)
+    parquet.write_swaps(project_canonical(raw_json.normalise_payloads(raw_json.parse_payloads(lines))), swaps)
+    rejected = rejected or f"{swaps.rstrip('/')}-rejected"
+    parquet.write_table(raw_json.broken_lines(lines), rejected)
+    return spark.read.schema("line string").parquet(rejected).count()
 
 
 def clean_job(

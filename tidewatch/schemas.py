@@ -59,6 +59,7 @@ SWAP_SCHEMA = T.StructType(
 # As landed: everything is text until it has been checked.
 RAW_SWAP_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in SWAP_COLUMNS])
 
+# Columns of the records below.
 SANDWICH_SCHEMA = T.StructType(
     [
         T.StructField("attacker", T.StringType()),

@@ -8,10 +8,22 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.parsing import as_long
 
-# Every leaf is text: unreadable numbers become null below instead of failing the record.
-# ``pool`` is an object or a plain address; as text it holds either.
-_LEAVES = ["id", "timestamp", "sender", "recipient", "amount0", "amount1", "amountUSD", "tick"]
-_LEAVES += ["sqrtPriceX96", "pool", "blockNumber", "transactionHash"]
+# Field names of a payload. Every leaf is text: unreadable numbers become null below instead
+# of failing the record. ``pool`` is an object or a plain address; as text it holds either.
+_LEAVES = [
+    "id",
+    "timestamp",
+    "sender",
+    "recipient",
+    "amount0",
+    "amount1",
+    "amountUSD",
+    "tick",
+    "sqrtPriceX96",
+    "pool",
+    "blockNumber",
+    "transactionHash",
+]
 
 PAYLOAD_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in _LEAVES]
@@ -30,17 +42,32 @@ def _first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(value, F.lit("")) for value in values])
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Landed lines as text in ``value``."""
+    return spark.read.text(path)
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAYLOAD_SCHEMA).json(path)
+    return parse_payloads(read_lines(spark, path))
+
+
+def _objects(column: str) -> Column:
+    """The payloads of a line, an object or an array of them; null where the line is neither."""
+    return F.from_json(column, T.ArrayType(PAYLOAD_SCHEMA))
 
 
 def parse_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Payload columns from a text column of JSON objects.
+    """Payload columns from a text column of JSON objects. Blank and broken lines give no row (``broken_lines``).
 
     Through a generator each line is parsed once; a plain struct would be parsed again for every
     use of one of its fields, because projections are merged.
     """
-    return lines.select(F.inline(F.array(F.from_json(column, PAYLOAD_SCHEMA))))
+    return lines.select(F.inline(_objects(column)))
+
+
+def broken_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that hold text but no JSON object, as they are."""
+    return lines.where((F.trim(column) != "") & _objects(column).isNull()).select(F.col(column).alias("line"))
 
 
 def normalise_payloads(payloads: DataFrame) -> DataFrame:
