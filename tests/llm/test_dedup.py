@@ -72,6 +72,28 @@ def test_chain_of_components(documents):
     assert got == brute.ordered(brute.components(rows))
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_repeated_rows_of_a_large_family(documents, times):
+    """A table united with itself: its rows are copies of one node, in families of more than four blocks."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}_{k}" for k in range(150)]
+        for i in range(30):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((group * 100 + i, " ".join(copy)))
+    window = [f"c{i}" for i in range(400)]
+    rows += [(1000 - i, " ".join(window[i * 4 : i * 4 + 120])) for i in range(60)]
+    docs = documents(rows)
+    whole = docs
+    for _ in range(times - 1):
+        whole = whole.unionByName(docs)
+    got = plain(ngram_join.similarity_components(whole, block=4), "doc_id", "n_shingles", "component_id")
+    assert got == brute.ordered(brute.components(rows * times))
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))

@@ -211,7 +211,7 @@ def _thin_links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         return None
     nodes = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     nodes = nodes.withColumn("node", F.xxhash64("d1", "d2"))
-    items = _sets(docs, nodes.select("doc_id", "d1", "d2", "node")).mapInArrow(_exploded, "item long, h long").distinct().withColumnRenamed("item", "node")
+    items = _made(docs, nodes.select("doc_id", "d1", "d2", "node")).mapInArrow(_exploded, "item long, h long").distinct().withColumnRenamed("item", "node")
     probes = thin.select(F.xxhash64("d1", "d2").alias("node")).join(items, "node").select(F.col("node").alias("a"), "h")
     counts = probes.join(items.withColumnRenamed("node", "b"), "h").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     sizes = nodes.select("node", "n")
@@ -247,8 +247,17 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``nodes`` (doc_id, d1, d2, ...) with the sets of their documents, made from the texts anew; without doc_id, d1, d2."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(nodes), "doc_id").drop("doc_id")
+    """``nodes`` (doc_id, d1, d2, copies, ...) with the sets of their documents, made from the texts anew; one row per node.
+
+    Without doc_id, d1, d2 and copies. A row that is stored several times makes as many sets, which become one here.
+    """
+    made = _made(docs, nodes.where("copies = 1"))
+    again = nodes.where("copies > 1")
+    return made.unionByName(_made(docs, again).dropDuplicates(["node"])) if again.limit(1).count() else made
+
+
+def _made(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(nodes.drop("copies")), "doc_id").drop("doc_id")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "d1", "d2"))
     return rows.mapInArrow(_full_sets, f"{kept}, hashes binary")
 
@@ -341,9 +350,10 @@ def similarity_components(
     open_items = staged(open_items.fillna(0, ["own"]).where("own <= n_shingles div 5"), "open")
     narrow = described.select("row", "doc_id", "n_shingles", "d1", "d2")
     open_rows = narrow.join(_small(open_items.select("row").distinct()), "row", "left_semi")
-    # Equal sets are one node, named after one of their rows.
-    nodes = open_rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"))
-    nodes = staged(nodes.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node")), "nodes")
+    # Equal sets are one node, named after one of their rows; ``copies`` rows have its id and set.
+    nodes = open_rows.groupBy("d1", "d2", "doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row", "copies")).alias("m"))
+    nodes = staged(nodes.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node"), F.col("m.copies").alias("copies")), "nodes")
 
     chosen = open_items.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     shared = counted.where("h IS NOT NULL").select("h", "df")
