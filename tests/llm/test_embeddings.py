@@ -54,3 +54,22 @@ def test_graph_finds_dense_groups():
     truth = [np.flatnonzero(graph.vectors @ q >= 0.98) for q in x]
     assert sum(map(len, found)) >= 0.99 * sum(map(len, truth))
     assert all(set(f) <= set(t) for f, t in zip(found, truth, strict=True))
+
+
+def test_links_that_the_graph_lost():
+    """Rare pairs whose partners no path of the graph reaches, among queries of which most have no link."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries = rng.normal(size=(800, 32))
+    # None is a multiple of 33, where an audit of 24 of 800 evenly spaced queries would fall.
+    paired = np.arange(5, 800, 33)
+    queries[paired] = x[100 + paired] + 0.01 * rng.normal(size=(len(paired), 32))
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    graph = ed.Graph.build(x)
+    for links in graph.links:
+        links[np.isin(links, 100 + paired)] = -1
+    found = ed.search(graph, queries, 0.98)
+    truth = [np.flatnonzero(graph.vectors @ q >= 0.98) for q in queries]
+    assert sum(map(len, truth)) == len(paired)
+    assert all(set(f) == set(t) for f, t in zip(found, truth, strict=True))

@@ -2,7 +2,7 @@
 
 Vectors of one label and length are dealt to shards of ``SHARD`` vectors; each shard is a graph, built once and staged. Every vector asks every
 shard of its label, in blocks of queries. A beam that ends among vectors that link is widened until it ends outside.
-Each block is audited: some of its queries are answered by brute force too, and if the graph misses a link, the beam
+Each block is audited: queries are answered by brute force until enough of them have links, and if the graph misses one of these, the beam
 of the whole block is widened until the audit passes, or all vectors are compared. Links are verified by their cosine in double precision. A block returns
 numbers of links and a spanning forest, never its pairs; the forests are united to components.
 
@@ -29,7 +29,11 @@ QUERIES = 4096
 NEIGHBOURS = 12
 BUILD_BEAM = 48
 BEAM = 24
+#: Queries with so many links to check a beam by, see ``search``.
 AUDITED = 24
+FEW = 8
+#: Queries that are compared with all vectors at a time.
+COMPARED = 256
 
 
 class Graph:
@@ -137,17 +141,37 @@ class Graph:
             width *= 2
 
 
-def search(graph: Graph, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """Links of every query, with the audit."""
-    step = max(1, len(queries) // AUDITED)
-    audited = list(range(0, len(queries), step))[:AUDITED]
-    truth = [np.flatnonzero(graph.vectors @ queries[i] >= cosine) for i in audited]
+def search(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Links of every query, with the audit. ``own``: which vector of the graph each query is itself, or -1.
+
+    Queries are answered by brute force until ``AUDITED`` of them have links, but ``FEW`` at most: groups that are small here are the ones a beam
+    may miss. A beam must find all links of the audited ones; where links are too rare to audit, every answer is by brute force.
+    """
+    own = np.full(len(queries), -1) if own is None else own
+    found: list[np.ndarray] = []
+    few: list[int] = []
+    many: list[int] = []
+    while len(found) < len(queries) and len(few) < AUDITED:
+        a = len(found)
+        for i, links in enumerate(_compared(graph, queries[a : a + COMPARED], cosine), a):
+            found.append(links)
+            others = np.count_nonzero(links != own[i])
+            if others:
+                (few if others <= FEW else many).append(i)
+    audited = few + many[:AUDITED]
+    rest = queries[len(found) :]
     width = BEAM
-    while width < len(graph.vectors):
-        if all(np.array_equal(np.sort(graph.linked(queries[i], width, cosine)), t) for i, t in zip(audited, truth, strict=True)):
-            return [graph.linked(q, width, cosine) for q in queries]
+    while len(rest) and width < len(graph.vectors):
+        if all(np.array_equal(np.sort(graph.linked(queries[i], width, cosine)), found[i]) for i in audited):
+            return found + [graph.linked(q, width, cosine) for q in rest]
         width *= 2
-    return [np.flatnonzero(graph.vectors @ q >= cosine) for q in queries]
+    for a in range(0, len(rest), COMPARED):
+        found += _compared(graph, rest[a : a + COMPARED], cosine)
+    return found
+
+
+def _compared(graph: Graph, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
+    return [np.flatnonzero(near) for near in queries @ graph.vectors.T >= cosine]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -180,7 +204,8 @@ def _ask(cosine: float):
         graph.links = [np.frombuffer(x, np.int32).reshape(len(nodes), -1) for x in row["links"]]
         graph.entry, graph.top = row["entry"]
         asking, own = queries.column("node").to_numpy(), queries.column("weight").to_numpy()
-        found = search(graph, _matrix(queries.column("unit")), cosine)
+        at = {x: i for i, x in enumerate(nodes.tolist())}
+        found = search(graph, _matrix(queries.column("unit")), cosine, np.array([at.get(x, -1) for x in asking.tolist()]))
         number = {int(x): i for i, x in enumerate(dict.fromkeys([*asking.tolist(), *nodes.tolist()]))}
         parent = list(range(len(number)))
 
@@ -193,8 +218,8 @@ def _ask(cosine: float):
         n_links = []
         for q, w, links in zip(asking.tolist(), own.tolist(), found, strict=True):
             linked = nodes[links]
-            # A node's own row stands for its copies.
-            n_links.append(int(weights[links].sum()) - (1 if (linked == q).any() else 0))
+            # A node's own copies are counted from its weight, in its own shard.
+            n_links.append(int(weights[links[linked != q]].sum()) + (w - 1 if q in at else 0))
             for x in linked.tolist():
                 parent[root(number[x])] = root(number[q])
         names = list(number)
