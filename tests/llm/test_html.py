@@ -67,3 +67,30 @@ def test_matching_keeps_order():
     size, pairs = html_text.match_trees(a, b)
     assert size == 5
     assert [(x.tag, x.text, y.text) for x, y in pairs if x.tag == "p"] == [("p", "x", "z")]
+
+
+def test_long_pages_with_a_constant_block_at_the_end():
+    """Stories of very different lengths, aligned with the longest; the promo paragraph after them is template on all."""
+    promo = "<p>All articles of this host are free to read.</p>"
+    stories = [[sentence() for _ in range(n)] for n in (300, 60, 61, 75, 120, 299, 12, 40)]
+    made = [f"<title>{i}</title><div class=story>" + "".join(f"<p>{p}{'<ul><li>x</ul>' * (k % 7 == i)}" for k, p in enumerate(s)) + f"{promo}</div>" for i, s in enumerate(stories)]
+    trees = [html_text.parse(m) for m in made]
+    template, slots = html_text.template_of(trees)
+    for tree, fixed, slot, story in zip(trees, template, slots, stories, strict=True):
+        text = html_text.article_text(tree, fixed, slot)
+        assert story[0] in text and story[-1] in text
+        assert "free to read" not in text
+
+
+def test_large_lists_match_as_small_ones_do(monkeypatch):
+    rng = random.Random(2)
+    kinds = ["<p>x</p>", "<p><b>x</b></p>", "<ul><li>x</ul>", "<ul><li>x<li>y</ul>", "<h2>x</h2>", "<div><p>x</p><h2>x</h2></div>"]
+    for _ in range(20):
+        a, b = (html_text.parse("".join(rng.choices(kinds, k=rng.randint(1, 40)))) for _ in range(2))
+        found = []
+        for many in (10**9, 1):
+            monkeypatch.setattr(html_text, "MANY_PAIRS", many)
+            size, pairs = html_text.match_trees(a, b)
+            assert size == len(pairs)
+            found.append([(id(x), id(y)) for x, y in pairs])
+        assert found[0] == found[1]

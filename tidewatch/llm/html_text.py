@@ -16,9 +16,11 @@ Repeated rows are pages of their own. Extra columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,14 +150,14 @@ def elements(node: Node) -> list[Node]:
     return node.inner
 
 
-#: Trees of more nodes than this are aligned level by level in order only, so a huge page takes linear time.
-MATCHED_NODES = 3000
+#: Children are aligned in numpy from so many pairs on, with the same result.
+MANY_PAIRS = 1000
 MATCHED_DEPTH = 60
 
 
 def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: size of the largest order-preserving match of two trees, and its pairs."""
-    sizes: dict[tuple[int, int], int] = {}
+    sizes: dict[tuple[int, int, int], int] = {}
     size = _match_size(a, b, 0, sizes)
     pairs, todo = [], [(a, b, 0)] if size else []
     while todo:
@@ -164,26 +166,10 @@ def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         if x.shape == y.shape:
             todo += [(c, d, depth + 1) for c, d in zip(x.inner, y.inner, strict=True)]
         elif depth <= MATCHED_DEPTH and x.inner and y.inner:
-            if _too_large(x, y):
-                todo += [(c, d, depth + 1) for c, d in zip(x.inner, y.inner, strict=False) if c.label == d.label]
-                continue
-            best, i, j = _align(x, y, depth, sizes), len(x.inner), len(y.inner)
-            while i and j:
-                c, d = x.inner[i - 1], y.inner[j - 1]
-                if c.label == d.label and best[i][j] == best[i - 1][j - 1] + _match_size(c, d, depth + 1, sizes):
-                    todo.append((c, d, depth + 1))
-                    i, j = i - 1, j - 1
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
+            todo += [(c, d, depth + 1) for c, d in _aligned(x.inner, y.inner, depth, sizes)]
     return size, pairs
 
 
-def _too_large(a: Node, b: Node) -> bool:
-    return len(a.inner) * len(b.inner) > MATCHED_NODES or a.size * b.size > MATCHED_NODES**2
-
-
 def _match_size(a: Node, b: Node, depth: int, sizes: dict) -> int:
     if a.label != b.label:
         return 0
@@ -192,21 +178,100 @@ def _match_size(a: Node, b: Node, depth: int, sizes: dict) -> int:
         return a.size
     if not a.inner or not b.inner or depth > MATCHED_DEPTH:
         return 1
-    key = (id(a), id(b))
+    key = (a.shape, b.shape, depth)
     if key not in sizes:
-        if _too_large(a, b):
-            sizes[key] = 1 + sum(_match_size(c, d, depth + 1, sizes) for c, d in zip(a.inner, b.inner, strict=False))
-        else:
-            sizes[key] = 1 + _align(a, b, depth, sizes)[-1][-1]
+        # Children of one shape at either end match each other in some best match.
+        first, last = 0, _same_end(a.inner, b.inner)
+        n, m = len(a.inner) - last, len(b.inner) - last
+        while first < min(n, m) and a.inner[first].shape == b.inner[first].shape:
+            first += 1
+        ends = sum(c.size for c in a.inner[:first]) + sum(c.size for c in a.inner[n:])
+        sizes[key] = 1 + ends + _best(a.inner[first:n], b.inner[first:m], depth, sizes)
     return sizes[key]
 
 
-def _align(a: Node, b: Node, depth: int, sizes: dict) -> list[list[int]]:
-    """Best sums of matches of the first i children of ``a`` and the first j of ``b``."""
-    best = [[0] * (len(b.inner) + 1)]
-    for x in a.inner:
+def _same_end(a: list[Node], b: list[Node]) -> int:
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k].shape == b[-1 - k].shape:
+        k += 1
+    return k
+
+
+def _best(a: list[Node], b: list[Node], depth: int, sizes: dict) -> int:
+    """Best sum of matches of two lists of children."""
+    if len(a) * len(b) < MANY_PAIRS:
+        return _align(a, b, depth, sizes)[-1][-1]
+    gain = _gains(a, b, depth, sizes)
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row = _next_row(row, gain(x))
+    return int(row[-1])
+
+
+def _aligned(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[tuple[Node, Node]]:
+    """Pairs of a best match of two lists of children, from the end; of equal matches the one furthest to the end."""
+    last = _same_end(a, b)
+    pairs = list(zip(a[::-1][:last], b[::-1][:last], strict=True))
+    i, j = len(a) - last, len(b) - last
+    if not i or not j:
+        return pairs
+    # Large tables are not held: every ``step``-th row is, and the rows between are computed again.
+    large = i * j >= MANY_PAIRS
+    step = math.isqrt(i) + 1 if large else i + 1
+    if large:
+        gain = _gains(a[:i], b[:j], depth, sizes)
+        held, row = [], np.zeros(j + 1, np.int64)
+        for k in range(i):
+            if k % step == 0:
+                held.append(row)
+            row = _next_row(row, gain(a[k]))
+    while i and j:
+        low = (i - 1) // step * step
+        if large:
+            best = [held[low // step]]
+            for x in a[low:i]:
+                best.append(_next_row(best[-1], gain(x)))
+        else:
+            best = _align(a[:i], b[:j], depth, sizes)
+        while i > low and j:
+            c, d, above, row = a[i - 1], b[j - 1], best[i - 1 - low], best[i - low]
+            if c.label == d.label and row[j] == above[j - 1] + _match_size(c, d, depth + 1, sizes):
+                pairs.append((c, d))
+                i, j = i - 1, j - 1
+            elif row[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+    return pairs
+
+
+def _gains(a: list[Node], b: list[Node], depth: int, sizes: dict):
+    """A function from a node of ``a`` to the sizes of its matches with all of ``b``; nodes of one shape have the same."""
+    number = {s: k for k, s in enumerate(dict.fromkeys(y.shape for y in b))}
+    kinds = list({y.shape: y for y in b}.values())
+    kind_of = np.array([number[y.shape] for y in b])
+    made: dict[int, np.ndarray] = {}
+
+    def gain(x: Node) -> np.ndarray:
+        if x.shape not in made:
+            made[x.shape] = np.array([_match_size(x, y, depth + 1, sizes) for y in kinds], np.int64)
+        return made[x.shape][kind_of]
+
+    return gain
+
+
+def _next_row(above: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    row = above.copy()
+    np.maximum(above[1:], above[:-1] + gain, out=row[1:])
+    return np.maximum.accumulate(row, out=row)
+
+
+def _align(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[list[int]]:
+    """Best sums of matches of the first i nodes of ``a`` and the first j of ``b``."""
+    best = [[0] * (len(b) + 1)]
+    for x in a:
         above, row = best[-1], [0]
-        for j, y in enumerate(b.inner):
+        for j, y in enumerate(b):
             across = above[j] + _match_size(x, y, depth + 1, sizes) if x.label == y.label else 0
             row.append(max(above[j + 1], row[j], across))
         best.append(row)
