@@ -57,3 +57,26 @@ def test_every_token_that_can_occur(texts):
         text = word.decode(errors="replace")
         if bpe.split_words(model, [text])[0].to_pylist() == [word]:
             assert library.encode(text, add_special_tokens=False).ids == ids.tolist(), text
+
+
+def test_a_long_word_beside_many_short_ones(monkeypatch):
+    """Tables of words stay within their bound, and the ids are those of words encoded alone."""
+    model = bpe.load(PATH)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))).encode() for _ in range(3000)]
+    words[1000] = "".join(rng.choices("etaoinshr", k=20_000)).encode()
+    words[2000] = b"=" * 5000
+    cells, inner = [], bpe._encode_block
+
+    def counted(model, block, sizes):
+        cells.append(len(block) * (max(map(len, block)) + 1))
+        return inner(model, block, sizes)
+
+    monkeypatch.setattr(bpe, "_encode_block", counted)
+    got = bpe.encode_words(model, words)
+    assert max(cells) <= 4_000_000
+    for i in (0, 999, 1000, 2000, 2999):
+        assert got[i].tolist() == bpe.encode_words(model, [words[i]])[0].tolist()
+    to_byte = bpe.byte_names()
+    joined = b"".join(b"".join(bytes(to_byte[c] for c in model.names[t].removesuffix("</w>")) for t in ids.tolist()) for ids in got)
+    assert joined == b"".join(words)

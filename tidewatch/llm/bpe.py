@@ -173,14 +173,22 @@ def compatible(model: Model, a: np.ndarray, b: np.ndarray, bound: np.ndarray | N
     return good
 
 
+#: Cells of the table of a block of words, of 8 bytes; a longer word is a block of its own.
+CELLS = 4_000_000
+
+
 def encode_words(model: Model, words: list[bytes]) -> list[np.ndarray]:
     """Ids of each word."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
-    # Words of similar length go together, so padding stays small.
-    for a in range(0, len(order), 16384):
-        part = order[a : a + 16384]
+    # Words of similar length go together, so padding stays small; a table of few long words is as large as one of many short ones.
+    a = 0
+    while a < len(order):
+        widths = sizes[order[a : a + 16384]] + 1
+        fit = int(np.searchsorted(np.arange(1, len(widths) + 1) * widths, CELLS, side="right"))
+        part = order[a : a + max(1, fit)]
+        a += len(part)
         for i, ids in zip(part, _encode_block(model, [words[i] for i in part], sizes[part]), strict=True):
             out[i] = ids
     return out
@@ -190,7 +198,7 @@ def _encode_block(model: Model, words: list[bytes], sizes: np.ndarray) -> list[n
     width = int(sizes.max())
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(words), np.uint8)
-    known_key, known = np.zeros(0, np.int64), np.zeros(0, bool)
+    known: dict[int, bool] = {}
     n = len(model.names)
     last = np.full((len(words), width + 1), NONE, np.int64)
     state = np.zeros(len(words), np.int64)
@@ -206,7 +214,6 @@ def _encode_block(model: Model, words: list[bytes], sizes: np.ndarray) -> list[n
             here[todo] = model.fail[here[todo]]
 
     def choose(rows: np.ndarray, end: np.ndarray) -> None:
-        nonlocal known_key, known
         candidate = model.longest[state[rows]]
         while len(rows):
             start = end - model.size[candidate]
@@ -215,18 +222,11 @@ def _encode_block(model: Model, words: list[bytes], sizes: np.ndarray) -> list[n
             ask = np.flatnonzero(~fits)
             key = before[ask] * n + candidate[ask]
             distinct, back = np.unique(key, return_inverse=True)
-            answer = np.zeros(len(distinct), bool)
-            if len(known_key):
-                at = np.minimum(np.searchsorted(known_key, distinct), len(known_key) - 1)
-                seen = known_key[at] == distinct
-                answer[seen] = known[at[seen]]
-            else:
-                seen = np.zeros(len(distinct), bool)
-            fresh = np.flatnonzero(~seen)
-            answer[fresh] = compatible(model, distinct[fresh] // n, distinct[fresh] % n)
-            known_key, known = np.r_[known_key, distinct[fresh]], np.r_[known, answer[fresh]]
-            order = np.argsort(known_key, kind="stable")
-            known_key, known = known_key[order], known[order]
+            keys = distinct.tolist()
+            fresh = np.array([k for k in keys if k not in known], np.int64)
+            if len(fresh):
+                known.update(zip(fresh.tolist(), compatible(model, fresh // n, fresh % n).tolist(), strict=True))
+            answer = np.fromiter(map(known.__getitem__, keys), bool, len(keys))
             fits[ask] = answer[back]
             last[rows[fits], end[fits]] = candidate[fits]
             rows, end, candidate = rows[~fits], end[~fits], model.shorter[candidate[~fits]]
