@@ -139,6 +139,17 @@ def test_redaction(documents):
     assert secret_scan.redact_secrets(docs).columns == docs.columns
 
 
+def test_secrets_of_many_repositories(documents):
+    """A value in ten documents of one owner is an example, one in nine looks live; both of ``opaque`` and of fixed kind."""
+    wide, narrow, access = "Qq1" * 8, "Zx9" * 8, "AKIAABCDEFGHIJKLMN"
+    rows = [(i, f"key {wide} {narrow if i else ''} {access} {i}", "a") for i in range(10)]
+    got = {r.doc_id: r for r in secret_scan.secret_report(documents(rows)).collect()}
+    assert [(got[i].n_live, got[i].n_example) for i in range(10)] == [(0, 2)] + [(1, 2)] * 9
+    assert [got[i].spans.count("opaque") for i in range(10)] == [0] + [1] * 9
+    text = secret_scan.redact_secrets(documents(rows)).where("doc_id = 3").first().text
+    assert text == f"key {wide} [SECRET] [SECRET] 3"
+
+
 def test_packing(documents):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(0, 90)) + ("" if i % 9 else f" {i}"), rng.choice(["a", "b", "c", None])) for i in range(300)]

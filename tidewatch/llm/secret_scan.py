@@ -2,9 +2,10 @@
 
 Each text is scanned once; a staged table keeps spans and 128-bit hashes of their values, no text. Hashes are counted by
 distinct repository and owner with map-side aggregates, so one value may stand in a third of all
-documents. A value that ``EXAMPLE_OWNERS`` owners or more hold is a widely copied example; below that it looks live.
+documents. A value that ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOSITORIES`` repositories or more hold is a widely copied example;
+below both it looks live.
 Spans of the fixed patterns are always reported. The frequency adds spans of kind ``opaque``: long
-runs of mixed letters and digits that no pattern names and that belong to few owners. DataFrame functions only.
+runs of mixed letters and digits that no pattern names and that look live. DataFrame functions only.
 
 Defined results: null text counts as empty; a null owner or repository is one of its own; positions are code points,
 end exclusive. Rows equal in id and text are one document and all are returned. Extra columns are ignored by
@@ -29,6 +30,8 @@ KINDS = ["assign", "access", "hex", "opaque"]
 OPAQUE = "[A-Za-z0-9+/_=-]{20,}"
 #: A value of this many distinct owners is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is one of this many distinct repositories, whoever owns them.
+EXAMPLE_REPOSITORIES = 10
 
 _SPAN = "struct<start:int,kind:int,end:int,h1:bigint,h2:bigint>"
 
@@ -97,13 +100,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def weighed(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def weighed(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(k1, k2, doc_id, base, added, n_live, n_example), a row per row of ``docs``."""
     found = staged(scanned(docs), "secrets")
     counts = ownership(found)
     rows = found.select("k1", "k2", F.explode(F.concat("base", "opaque")).alias("s")).distinct()
     rows = rows.select("k1", "k2", "s", F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2")).join(counts, ["h1", "h2"])
-    live = F.col("n_owners") < example_owners
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories)
     per_document = rows.groupBy("k1", "k2").agg(
         F.sort_array(F.collect_list(F.when(live & (F.col("s.kind") == 3), F.col("s")))).alias("added"),
         F.count_if(live).alias("n_live"),
