@@ -1,11 +1,21 @@
 import itertools
 import random
+from collections import Counter
+from decimal import Decimal
 
 import pytest
 
 from tests.conftest import POOL, T0, address, swap, tx
 from tidewatch.operators.profiling import sandwich_summary
-from tidewatch.operators.sandwich import SandwichSettings, reversal_pairs, sandwich_candidates
+from tidewatch.operators import sandwich
+from tidewatch.operators.sandwich import (
+    SandwichSettings,
+    attacks_by_attacker,
+    reversal_pairs,
+    sandwich_attacks,
+    sandwich_candidates,
+)
+from tidewatch.operators.skew import TILE, place_left, place_right, tile_grid
 from tidewatch.schemas import SANDWICH_SCHEMA
 
 A, V, W = 1, 2, 3
@@ -151,10 +161,10 @@ def _brute_force(rows, window, minimum, similarity):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("rows_per_task", [None, 3])
-def test_equals_brute_force(table, seed, rows_per_task):
+@pytest.mark.parametrize("pairs_per_task", [None, 9])
+def test_equals_brute_force(table, seed, pairs_per_task):
     rows = _random_swaps(seed)
-    got = found(table, rows, window_seconds=20, rows_per_task=rows_per_task)
+    got = found(table, rows, window_seconds=20, pairs_per_task=pairs_per_task)
     triples = [(r["front_run_tx"], r["victim_tx"], r["back_run_tx"]) for r in got]
     assert len(triples) == len(set(triples))
     assert set(triples) == _brute_force(rows, 20, 100.0, 0.5)
@@ -181,3 +191,69 @@ def test_pairs_without_victims(table):
 def test_no_cross_join_in_the_plan(table):
     plan = sandwich_candidates(table(CLASSIC))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def _pairs_with_victims(triples):
+    return Counter((r["front_run_tx"], r["back_run_tx"]) for r in triples)
+
+
+@pytest.mark.parametrize("prefix_seconds", [1, 7, 600])
+def test_attacks_count_the_triples(table, monkeypatch, prefix_seconds):
+    """Buckets of a second and of more than the whole table give the same counts."""
+    monkeypatch.setattr(sandwich, "PREFIX_SECONDS", prefix_seconds)
+    rows = _random_swaps(1) + _random_swaps(2)
+    # Rows that repeat, ties in time, and an order that the block number does not decide.
+    rows = [{**row, "tx_hash": tx(i)} for i, row in enumerate(rows)] + [{**row, "tx_hash": tx(i)} for i, row in enumerate(rows[:15])]
+    triples = found(table, rows, window_seconds=20)
+    attacks = sandwich_attacks(table(rows), SandwichSettings(window_seconds=20))
+    got = Counter()
+    for row in attacks.collect():
+        got[row["front_run_tx"], row["back_run_tx"]] += row["victims"]
+    assert got == _pairs_with_victims(triples)
+    volume = sum(Decimal(str(r["victim_amount_usd"])) for r in triples)
+    assert sum(r["victim_volume_usd"] for r in attacks.collect()) == volume
+    totals = {r["attacker"]: (r["victims"], r["pools"]) for r in attacks_by_attacker(attacks).collect()}
+    assert {a: v for a, (v, _) in totals.items()} == Counter(r["attacker"] for r in triples)
+
+
+def test_attacks_of_a_router_are_pairs(table):
+    """4,400 swaps of a router and others in one minute: triples go into hundreds of millions, pairs do not."""
+    rows = [swap(i, 1 if i % 2 else 2 + i % 7, i // 80, (-1) ** (i // 2) * 1000, -((-1) ** (i // 2)), 1000) for i in range(4400)]
+    attacks = sandwich_attacks(table(rows), SandwichSettings(window_seconds=60))
+    result = attacks.selectExpr("count(*) AS pairs", "sum(victims) AS victims").first()
+    router = [i for i in range(4400) if i % 2]
+    up = {i: sum(1 for j in range(i) if j % 2 == 0) for i in router}
+    wanted = [up[b] - up[f] for f, b in itertools.combinations(router, 2) if (f // 2 - b // 2) % 2]
+    others = result["pairs"] - sum(1 for n in wanted if n)
+    assert others >= 0 and result["victims"] >= sum(wanted)
+    of_router = attacks.where(attacks.attacker == address(1)).selectExpr("count(*) AS n", "sum(victims) AS v").first()
+    assert (of_router["n"], of_router["v"]) == (sum(1 for n in wanted if n), sum(wanted))
+
+
+def test_attacks_of_nothing(table):
+    assert sandwich_attacks(table([])).count() == 0
+    assert sandwich_attacks(table([CLASSIC[0], CLASSIC[2]])).count() == 0
+    (row,) = sandwich_attacks(table(CLASSIC)).collect()
+    assert (row["victims"], row["victim_volume_usd"], row["profit_estimate_usd"]) == (1, Decimal(5000), 100.0)
+
+
+def test_tiles_meet_every_pair_once_and_stay_small(spark):
+    left = spark.range(3000).selectExpr("id AS l", "IF(id < 2400, 0, id % 50) AS k")
+    right = spark.range(500).selectExpr("id AS r", "IF(id < 400, 0, id % 50) AS k")
+    wanted = left.join(right, "k").count()
+    grid = tile_grid(left, right, ["k"], 10_000)
+    joined = place_left(left, grid, ["k"], "l").join(place_right(right, grid, ["k"], "r"), ["k", *TILE])
+    assert joined.count() == wanted == joined.select("l", "r").distinct().count()
+    tiles = joined.groupBy("k", *TILE).count().agg({"count": "max", "k": "count"}).first()
+    # Dealing by hash is even to within a few rows.
+    assert tiles["max(count)"] < 2 * 10_000 and tiles["count(k)"] >= 90
+    # No side is repeated more often than a square grid asks for.
+    assert place_left(left, grid, ["k"], "l").count() <= 3000 * 6
+    assert tile_grid(left, right, ["k"], 10**7) is None
+
+
+def test_hot_pool_is_shared_by_tasks(spark, table):
+    rows = [swap(i, i % 3, i // 10, (-1) ** i * 1000, -((-1) ** i), 1000) for i in range(300)]
+    plain = found(table, rows, window_seconds=10)
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, found(table, rows, window_seconds=10, pairs_per_task=25)))
+    assert len(plain) > 1000

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.schemas import AMOUNT
+from tidewatch.schemas import AMOUNT, TYPED_USD
 
 # Exponents end at 99, so no text of legal length can reach infinity.
 _DECIMAL = "[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?0*[0-9]{1,2})?"
@@ -56,6 +56,13 @@ def double_of(df: DataFrame, name: str) -> Column:
     return as_double(F.col(name))
 
 
+def usd_of(df: DataFrame) -> Column:
+    """The USD amount as a double: from its typed column where the table has one, so that comparisons reach the scan."""
+    if TYPED_USD in df.columns and isinstance(df.schema[TYPED_USD].dataType, T.DoubleType):
+        return F.col(TYPED_USD)
+    return double_of(df, "amount_usd")
+
+
 def decimal_of(df: DataFrame, name: str, to: T.DecimalType = AMOUNT) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.DecimalType):

@@ -6,21 +6,29 @@ and another sender makes the victim trade. Every triple is kept, whatever the vi
 
 Neither pools nor senders are a usable partition key on their own: one pool or one router can carry
 most of the traffic. Both joins are hash joins on a time bucket as well, so the work of a key is
-bounded by the traffic of a bucket, and buckets above a row limit are split further (``skew``).
+bounded by the traffic of a bucket, and keys with too many pairs are cut into tiles (``skew``).
+
+A router that buys and sells all the time has as many triples as victims times pairs. ``sandwich_attacks``
+gives one row per pair with the number and the volume of its victims instead. They are never listed: positions in the pool tell how
+many swaps lie between the legs, positions among the attacker's own swaps how many of them are its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import trade_side
-from tidewatch.functions.parsing import double_of, long_of
+from tidewatch.functions.parsing import decimal_of, double_of, long_of, usd_of
 from tidewatch.functions.scoring import amount_similarity, profit_estimate, sandwich_confidence
-from tidewatch.operators.skew import SALT, deal_out, heavy_keys, only_heavy, repeat_for_each
-from tidewatch.schemas import SANDWICH_INPUT, SANDWICH_SCHEMA, require_columns
+from tidewatch.operators.skew import TILE, place_left, place_right, tile_grid
+from tidewatch.schemas import AMOUNT, SANDWICH_INPUT, SANDWICH_SCHEMA, require_columns
+from tidewatch.session import written
+
+#: Seconds of one pool that are sorted together to number its swaps.
+PREFIX_SECONDS = 600
 
 
 @dataclass(frozen=True)
@@ -28,12 +36,14 @@ class SandwichSettings:
     window_seconds: int = 60
     min_usd: float = 100.0
     similarity: float = 0.5
-    # Rows of one join key that a single task may handle; None leaves skew to adaptive execution.
-    rows_per_task: int | None = 100_000
+    # Pairs of rows of one join key that a single task may compare; None leaves skew to adaptive execution.
+    pairs_per_task: int | None = 100_000_000
 
     def __post_init__(self) -> None:
         if self.window_seconds < 0:
             raise ValueError("window_seconds must not be negative")
+        if self.pairs_per_task is not None and self.pairs_per_task <= 0:
+            raise ValueError("pairs_per_task must be positive")
 
     @property
     def pair_bucket(self) -> int:
@@ -49,7 +59,7 @@ class SandwichSettings:
 def order_columns(df: DataFrame) -> list[str]:
     """Columns that put the swaps of a pool in one total order, independent of input order.
 
-    Block number and log index count as numbers, also where they are stored as text: see ``_position``.
+    Block number and log index count as numbers, also where they are stored as text: see ``swap_position``.
     """
     if {"block_number", "log_index"} <= set(df.columns):
         return ["block_number", "log_index", "tx_hash"]
@@ -57,7 +67,7 @@ def order_columns(df: DataFrame) -> list[str]:
     return [name for name in optional if name in df.columns]
 
 
-def _position(df: DataFrame) -> Column:
+def swap_position(df: DataFrame) -> Column:
     """Time and order columns of a swap, to be compared as one value."""
     numbers = {"block_number", "log_index"}
     order = [long_of(df, name).alias(name) if name in numbers else F.col(name) for name in order_columns(df)]
@@ -68,19 +78,21 @@ def _bucket(seconds: Column, width: int) -> Column:
     return F.floor(seconds / F.lit(width))
 
 
-def tradable_swaps(df: DataFrame, settings: SandwichSettings) -> DataFrame:
+def tradable_swaps(df: DataFrame, settings: SandwichSettings, exact: bool = False) -> DataFrame:
     """Swaps large enough to matter, narrowed to what the joins need.
 
     Columns: pool, sender, usd, side (-2 buy, 2 sell) and seq, the position within the pool. Time and
-    hash are part of ``seq``; rows carry them once through the shuffles.
+    hash are part of ``seq``; rows carry them once through the shuffles. With ``exact`` also exact_usd, a decimal.
     """
     require_columns(df, SANDWICH_INPUT)
+    more = [decimal_of(df, "amount_usd", AMOUNT).alias("exact_usd")] if exact else []
     return df.select(
         "pool",
         "sender",
-        double_of(df, "amount_usd").alias("usd"),
+        usd_of(df).alias("usd"),
         trade_side(double_of(df, "amount0"), double_of(df, "amount1")).alias("side"),
-        _position(df).alias("seq"),
+        swap_position(df).alias("seq"),
+        *more,
     ).where(
         (F.col("usd") >= float(settings.min_usd))
         & F.col("pool").isNotNull()
@@ -88,75 +100,79 @@ def tradable_swaps(df: DataFrame, settings: SandwichSettings) -> DataFrame:
     )
 
 
-def _heavy_buckets(swaps: DataFrame, settings: SandwichSettings):
-    """Heavy keys of the two joins. A cheap count per pool and bucket comes first: below the
-    limit there, no finer key can be above it, and nothing else is counted."""
-    limit = settings.rows_per_task
-    if limit is None:
-        return None, None
-    rows = swaps.select(
-        "pool",
-        "sender",
-        _bucket(F.col("seq.ts"), settings.pair_bucket).alias("bucket"),
-        _bucket(F.col("seq.ts"), settings.victim_bucket).alias("victim_bucket"),
-    )
-    busy = heavy_keys(rows, ["pool", "bucket"], limit)
-    if busy is None:
-        return None, None
-    rows = only_heavy(rows, busy, ["pool", "bucket"])
-    pairs = heavy_keys(rows, ["pool", "sender", "bucket"], limit)
-    victims = heavy_keys(
-        rows.select("pool", F.col("victim_bucket").alias("bucket")), ["pool", "bucket"], limit
-    )
-    return pairs, victims
+PAIR_KEY = ["pool", "sender", "bucket", "side"]
+VICTIM_KEY = ["pool", "bucket"]
+
+
+def _front_buckets(settings: SandwichSettings) -> Column:
+    """Buckets of a front: its own and, near its end, the next one."""
+    width, seconds = settings.pair_bucket, F.col("seq.ts")
+    return F.explode(F.sequence(_bucket(seconds, width), _bucket(seconds + settings.window_seconds, width)))
+
 
+def _may_be_heavy(swaps: DataFrame, settings: SandwichSettings, sides: int) -> bool:
+    """Whether some pool and bucket has so many swaps that a join of ``sides`` sides could exceed a task.
 
-def _pairs(swaps: DataFrame, settings: SandwichSettings, heavy: DataFrame | None) -> DataFrame:
-    width, window = settings.pair_bucket, settings.window_seconds
+    One cheap count. Without such a bucket no finer key can be heavy and nothing else is counted.
+    """
+    if settings.pairs_per_task is None:
+        return False
+    counts = swaps.select("pool", _front_buckets(settings).alias("bucket")).groupBy("pool", "bucket").count()
+    most = counts.agg(F.max("count")).first()[0] or 0
+    return most**sides > settings.pairs_per_task
+
+
+def _legs(swaps: DataFrame, settings: SandwichSettings) -> tuple[DataFrame, DataFrame]:
+    """(fronts, backs) with the columns of ``PAIR_KEY``; extra columns of ``swaps`` get the leg's name in front."""
+    extra = [name for name in swaps.columns if name not in ("pool", "sender", "side")]
     legs = swaps.where((F.abs("side") == 2) & F.col("sender").isNotNull())
     if settings.min_usd <= 0:
         legs = legs.where(F.col("usd") > 0)
-    key = ["pool", "sender", "bucket"]
     fronts = legs.select(
         "pool",
         "sender",
         (-F.col("side")).alias("side"),
-        F.explode(
-            F.sequence(_bucket(F.col("seq.ts"), width), _bucket(F.col("seq.ts") + window, width))
-        ).alias("bucket"),
-        F.col("seq").alias("front_seq"),
-        F.col("usd").alias("front_usd"),
+        _front_buckets(settings).alias("bucket"),
+        *[F.col(name).alias(f"front_{name}") for name in extra],
     )
     backs = legs.select(
         "pool",
         "sender",
         "side",
-        _bucket(F.col("seq.ts"), width).alias("bucket"),
-        F.col("seq").alias("back_seq"),
-        F.col("usd").alias("back_usd"),
+        _bucket(F.col("seq.ts"), settings.pair_bucket).alias("bucket"),
+        *[F.col(name).alias(f"back_{name}") for name in extra],
     )
+    return fronts, backs
+
+
+def _pairs(swaps: DataFrame, settings: SandwichSettings, heavy: bool) -> DataFrame:
+    fronts, backs = _legs(swaps, settings)
+    grid = tile_grid(fronts, backs, PAIR_KEY, settings.pairs_per_task) if heavy else None
     # A back lies in one bucket, so a pair meets once although fronts are repeated.
-    joined = repeat_for_each(fronts, heavy, key).join(
-        deal_out(backs, heavy, key, "back_seq"), key + ["side", SALT]
+    joined = place_left(fronts, grid, PAIR_KEY, "front_seq").join(
+        place_right(backs, grid, PAIR_KEY, "back_seq"), PAIR_KEY + TILE
     )
     similarity = amount_similarity(F.col("front_usd"), F.col("back_usd"))
     return (
         joined.where(
             (F.col("front_seq") < F.col("back_seq"))
-            & (F.col("back_seq.ts") - F.col("front_seq.ts") <= window)
+            & (F.col("back_seq.ts") - F.col("front_seq.ts") <= settings.window_seconds)
             & (similarity >= settings.similarity)
         )
         .withColumn("similarity", similarity)
-        .drop("bucket", "side", SALT)
+        .drop("bucket", "side", *TILE)
     )
 
 
 def reversal_pairs(df: DataFrame, settings: SandwichSettings = SandwichSettings()) -> DataFrame:
     """Opposite trades of one sender in one pool within the window: sandwiches without a victim."""
     swaps = tradable_swaps(df, settings)
-    heavy, _ = _heavy_buckets(swaps, settings)
-    return _pairs(swaps, settings, heavy).select(
-        "pool",
+    return _pairs(swaps, settings, _may_be_heavy(swaps, settings, 2)).select(*_pair_columns(), "similarity")
+
+
+def _pair_columns() -> list[Column]:
+    return [
+        F.col("pool"),
         F.col("sender").alias("attacker"),
         F.col("front_seq.tx_hash").alias("front_run_tx"),
         F.col("back_seq.tx_hash").alias("back_run_tx"),
@@ -164,38 +180,87 @@ def reversal_pairs(df: DataFrame, settings: SandwichSettings = SandwichSettings(
         F.col("back_seq.ts").alias("back_run_timestamp"),
         F.col("front_usd").alias("front_run_amount_usd"),
         F.col("back_usd").alias("back_run_amount_usd"),
-        "similarity",
-    )
+    ]
 
 
-def sandwich_candidates(df: DataFrame, settings: SandwichSettings = SandwichSettings()) -> DataFrame:
-    """All triples with profit estimate and score, as ``SANDWICH_SCHEMA``."""
-    swaps = tradable_swaps(df, settings)
-    heavy_pairs, heavy_victims = _heavy_buckets(swaps, settings)
-    width = settings.victim_bucket
-    key = ["pool", "bucket"]
-    pairs = _pairs(swaps, settings, heavy_pairs).withColumn(
-        "bucket",
-        F.explode(F.sequence(_bucket(F.col("front_seq.ts"), width), _bucket(F.col("back_seq.ts"), width))),
+def _counted(swaps: DataFrame, owner: list[str], prefix: str) -> DataFrame:
+    """Adds for each swap how many of ``owner`` come before it and up to it, and their volumes.
+
+    ``<prefix>before`` and ``<prefix>upto`` count, ``<prefix>volume_before`` and ``<prefix>volume_upto`` add up. Swaps are sorted
+    within ``PREFIX_SECONDS``; what came earlier is added per bucket. An owner has one row per bucket at most there, so its
+    rows are bounded by the calendar.
+    """
+    key = [*owner, "count_bucket"]
+    totals = swaps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.try_sum("exact_usd").alias("volume"))
+    earlier = Window.partitionBy(*owner).orderBy("count_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *key,
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier_n"),
+        F.coalesce(F.try_sum("volume").over(earlier), F.lit(0).cast(AMOUNT)).alias("earlier_volume"),
     )
-    victims = swaps.select(
-        "pool",
-        _bucket(F.col("seq.ts"), width).alias("bucket"),
-        F.col("seq").alias("victim_seq"),
-        F.col("sender").alias("victim_sender"),
-        F.col("usd").alias("victim_usd"),
+    order = Window.partitionBy(*key).orderBy("seq")
+    # Swaps equal in time and order are neither before nor after each other.
+    peers = order.rangeBetween(Window.currentRow, Window.currentRow)
+    local = swaps.withColumns(
+        {
+            "local_before": F.rank().over(order) - 1,
+            "local_upto": F.count(F.lit(1)).over(order),
+            "local_volume": F.try_sum("exact_usd").over(order),
+            "peer_volume": F.try_sum("exact_usd").over(peers),
+        }
     )
-    # A victim lies in one bucket, so a triple meets once although pairs are repeated.
-    # A victim without a sender is somebody else's trade.
-    triples = (
-        repeat_for_each(pairs, heavy_victims, key)
-        .join(deal_out(victims, heavy_victims, key, "victim_seq"), key + [SALT])
-        .where(
-            (F.col("front_seq") < F.col("victim_seq"))
-            & (F.col("victim_seq") < F.col("back_seq"))
-            & ~F.col("victim_sender").eqNullSafe(F.col("sender"))
+    volume = F.try_add("earlier_volume", "local_volume")
+    return local.join(totals, key).select(
+        *swaps.columns,
+        (F.col("earlier_n") + F.col("local_before")).alias(f"{prefix}before"),
+        (F.col("earlier_n") + F.col("local_upto")).alias(f"{prefix}upto"),
+        F.try_subtract(volume, F.col("peer_volume")).cast(AMOUNT).alias(f"{prefix}volume_before"),
+        volume.cast(AMOUNT).alias(f"{prefix}volume_upto"),
+    )
+
+
+def sandwich_attacks(df: DataFrame, settings: SandwichSettings = SandwichSettings()) -> DataFrame:
+    """One row per pair of legs with a victim between them: the triples of ``sandwich_candidates``, counted.
+
+    Columns: pool, attacker, front_run_tx, back_run_tx, front_run_timestamp, back_run_timestamp, front_run_amount_usd,
+    back_run_amount_usd, similarity, profit_estimate_usd, victims, victim_volume_usd (exact; null above 38 digits).
+    """
+    swaps = tradable_swaps(df, settings, exact=True)
+    heavy = _may_be_heavy(swaps, settings, 2)
+    numbered = swaps.withColumn("count_bucket", _bucket(F.col("seq.ts"), PREFIX_SECONDS))
+    legs = _counted(numbered, ["pool"], "").where(F.col("sender").isNotNull())
+    legs = _counted(legs, ["pool", "sender"], "own_").drop("count_bucket", "exact_usd")
+    victims = F.col("back_before") - F.col("front_upto") - (F.col("back_own_before") - F.col("front_own_upto"))
+    between = F.try_subtract("back_volume_before", "front_volume_upto")
+    own = F.try_subtract("back_own_volume_before", "front_own_volume_upto")
+    return (
+        _pairs(legs, settings, heavy)
+        .withColumn("victims", victims)
+        .where("victims > 0")
+        .select(
+            *_pair_columns(),
+            "similarity",
+            profit_estimate(F.col("front_usd"), F.col("back_usd")).alias("profit_estimate_usd"),
+            "victims",
+            F.try_subtract(between, own).cast(AMOUNT).alias("victim_volume_usd"),
         )
     )
+
+
+def attacks_by_attacker(attacks: DataFrame) -> DataFrame:
+    """Per attacker: pairs, victims (triples), pools, volume of all victims, largest profit."""
+    pools = attacks.select("attacker", "pool").distinct().groupBy("attacker").agg(F.count(F.lit(1)).alias("pools"))
+    totals = attacks.groupBy("attacker").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.sum("victims").alias("victims"),
+        F.try_sum("victim_volume_usd").cast(AMOUNT).alias("victim_volume_usd"),
+        F.max("profit_estimate_usd").alias("largest_profit_usd"),
+    )
+    return totals.join(pools, "attacker")
+
+
+def triple_columns(triples: DataFrame) -> DataFrame:
+    """Joined legs and victims as ``SANDWICH_SCHEMA``, with profit estimate and score."""
     return triples.select(
         F.col("sender").alias("attacker"),
         F.col("victim_seq.tx_hash").alias("victim_tx"),
@@ -216,3 +281,36 @@ def sandwich_candidates(df: DataFrame, settings: SandwichSettings = SandwichSett
             F.col("front_usd"),
         ).alias("confidence_score"),
     ).select(*SANDWICH_SCHEMA.fieldNames())
+
+
+def sandwich_candidates(df: DataFrame, settings: SandwichSettings = SandwichSettings()) -> DataFrame:
+    """All triples with profit estimate and score, as ``SANDWICH_SCHEMA``."""
+    swaps = tradable_swaps(df, settings)
+    heavy = _may_be_heavy(swaps, settings, 3)
+    width = settings.victim_bucket
+    pairs = _pairs(swaps, settings, heavy)
+    if heavy:
+        # They are counted and joined: found once.
+        pairs = written(pairs, "pairs")
+    buckets = F.sequence(_bucket(F.col("front_seq.ts"), width), _bucket(F.col("back_seq.ts"), width))
+    pairs = pairs.withColumn("bucket", F.explode(buckets)).withColumn("pair", F.struct("front_seq", "back_seq"))
+    victims = swaps.select(
+        "pool",
+        _bucket(F.col("seq.ts"), width).alias("bucket"),
+        F.col("seq").alias("victim_seq"),
+        F.col("sender").alias("victim_sender"),
+        F.col("usd").alias("victim_usd"),
+    )
+    grid = tile_grid(pairs, victims, VICTIM_KEY, settings.pairs_per_task) if heavy else None
+    # A victim lies in one bucket, so a triple meets once although pairs are repeated.
+    # A victim without a sender is somebody else's trade.
+    triples = (
+        place_left(pairs, grid, VICTIM_KEY, "pair")
+        .join(place_right(victims, grid, VICTIM_KEY, "victim_seq"), VICTIM_KEY + TILE)
+        .where(
+            (F.col("front_seq") < F.col("victim_seq"))
+            & (F.col("victim_seq") < F.col("back_seq"))
+            & ~F.col("victim_sender").eqNullSafe(F.col("sender"))
+        )
+    )
+    return triple_columns(triples)

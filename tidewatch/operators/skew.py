@@ -1,58 +1,78 @@
-"""Splitting of join keys that hold too many rows for one task.
+"""Splitting of join keys that hold too much work for one task.
 
-A time-bucketed range join compares all rows that share a key, so a bucket of a busy pool can be
-slow long before it is large in bytes, which is what adaptive execution looks at. The heavy keys
-are therefore counted first. Rows of a heavy key are dealt out over several salts and the rows of
-the other side are repeated once per salt: every pair still meets exactly once.
+A time-bucketed range join compares all rows of one side with all rows of the other that share a key, so
+a key of a busy pool can be slow long before it is large in bytes, which is what adaptive execution looks
+at. What counts is the product of the two sides. The pairs of a heavy key form a rectangle, which is cut into
+tiles: a row of the left side is dealt to one row of tiles and repeated for each of its columns, a row of the right side to
+one column and repeated for each of its rows. Every pair meets in exactly one tile, and the repetition is the least for tiles of that size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALT = "salt"
-_SPLITS = "splits"
+TILE = ["tile_row", "tile_column"]
 
 # Up to this many heavy keys travel as a broadcast table (about 100 bytes each); more are joined.
 MAX_BROADCAST_KEYS = 10_000
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame | None:
-    """Keys with more than ``rows_per_task`` rows and how often to split each; None if there are none.
-
-    Counts are combined map-side; only the heavy keys, at most ``MAX_BROADCAST_KEYS`` + 1 of them,
-    reach the driver, which decides between a broadcast and a shuffled table.
-    """
-    heavy = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("n") / F.lit(rows_per_task)).cast("int").alias(_SPLITS))
-    )
+def _small_or_joined(heavy: DataFrame) -> DataFrame | None:
+    """Only heavy keys, at most ``MAX_BROADCAST_KEYS`` + 1 of them, reach the driver, which decides how they travel."""
     found = heavy.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not found:
         return None
     if len(found) > MAX_BROADCAST_KEYS:
         return heavy
-    return F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema))
+    return F.broadcast(heavy.sparkSession.createDataFrame(found, heavy.schema))
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame | None:
+    """Keys with more than ``rows_per_task`` rows; None if there are none. Counts are combined map-side."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _small_or_joined(counts.where(F.col("n") > rows_per_task).select(*keys))
 
 
 def only_heavy(rows: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(heavy.select(*keys), keys, "left_semi")
 
 
-def deal_out(rows: DataFrame, heavy: DataFrame | None, keys: list[str], identity: str) -> DataFrame:
-    """Gives each row one salt below its key's number of splits, by the hash of ``identity``."""
-    if heavy is None:
-        return rows.withColumn(SALT, F.lit(0))
-    salt = F.pmod(F.xxhash64(identity), F.coalesce(F.col(_SPLITS), F.lit(1))).cast("int")
-    return rows.join(heavy, keys, "left").withColumn(SALT, salt).drop(_SPLITS)
+def tile_grid(left: DataFrame, right: DataFrame, keys: list[str], pairs_per_task: int) -> DataFrame | None:
+    """Keys with more than ``pairs_per_task`` pairs and their numbers of tiles each way; None if there are none.
+
+    Both sides are counted in one aggregate. Tiles are squares, or as wide as the shorter side.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(*keys, one.alias("l"), none.alias("r")).unionByName(right.select(*keys, none.alias("l"), one.alias("r")))
+    counts = both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    pairs = F.col("l").cast("double") * F.col("r")
+    side = isqrt(pairs_per_task)
+
+    def splits(own: str, other: str) -> Column:
+        cut = F.when(F.col(other) <= side, F.ceil(pairs / F.lit(float(pairs_per_task)))).otherwise(F.ceil(F.col(own) / F.lit(side)))
+        return F.when(F.col(own) <= side, F.lit(1)).otherwise(cut).cast("int")
+
+    heavy = counts.where(pairs > pairs_per_task).select(*keys, splits("l", "r").alias("rows"), splits("r", "l").alias("columns"))
+    return _small_or_joined(heavy)
+
+
+def _placed(rows: DataFrame, grid: DataFrame | None, keys: list[str], own: str, other: str, identity: str) -> DataFrame:
+    """Each row in one of ``own`` parts, by the hash of ``identity``, and in all of ``other``."""
+    own_tile, other_tile = TILE if own == "rows" else TILE[::-1]
+    if grid is None:
+        return rows.withColumns({name: F.lit(0) for name in TILE})
+    joined = rows.join(grid, keys, "left")
+    part = F.pmod(F.xxhash64(identity, F.lit(own)), F.coalesce(F.col(own), F.lit(1))).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+    return joined.withColumn(own_tile, part).withColumn(other_tile, parts).drop("rows", "columns")
+
+
+def place_left(rows: DataFrame, grid: DataFrame | None, keys: list[str], identity: str) -> DataFrame:
+    return _placed(rows, grid, keys, "rows", "columns", identity)
 
 
-def repeat_for_each(rows: DataFrame, heavy: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Repeats each row once per salt of its key."""
-    if heavy is None:
-        return rows.withColumn(SALT, F.lit(0))
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SPLITS), F.lit(1)) - 1))
-    return rows.join(heavy, keys, "left").withColumn(SALT, salts).drop(_SPLITS)
+def place_right(rows: DataFrame, grid: DataFrame | None, keys: list[str], identity: str) -> DataFrame:
+    return _placed(rows, grid, keys, "columns", "rows", identity)

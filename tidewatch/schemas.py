@@ -34,6 +34,7 @@ DUPLICATE_COUNT_KEY = ["tx_hash", "timestamp", "sender", "recipient"]
 
 ADDRESS_COLUMNS = ["pool", "sender", "recipient"]
 AMOUNT_COLUMNS = ["amount0", "amount1"]
+NUMBER_COLUMNS = ["timestamp", "block_number", "amount0", "amount1", "amount_usd", "tick"]
 
 # Columns each detector needs.
 SANDWICH_INPUT = ["timestamp", "pool", "sender", "tx_hash", "amount0", "amount1", "amount_usd"]
@@ -46,6 +47,9 @@ WASH_PATTERN_TYPES = ["roundtrip", "closed_loop", "coordinated"]
 USD = T.DecimalType(36, 18)
 AMOUNT = T.DecimalType(38, 18)
 
+#: Column that clean tables have beside the canonical ones: the USD amount, parsed.
+TYPED_USD = "amount_usd_double"
+
 _swap_types = {
     "timestamp": T.LongType(),
     "block_number": T.LongType(),
