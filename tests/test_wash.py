@@ -10,8 +10,11 @@ from tidewatch.functions.scoring import wash_confidence
 from tidewatch.operators.patterns import flat_patterns, wash_patterns
 from tidewatch.operators.profiling import run_counters, wash_pattern_rollup
 from tidewatch.operators.quality import ERRORS, with_pattern_errors, with_wash_errors
+from tidewatch.operators import wash
+from tidewatch.operators.scan import carried_bits
 from tidewatch.operators.wash import WashSettings, consecutive_pairs, roundtrips, wash_trades
 from tidewatch.schemas import WASH_SCHEMA
+from tidewatch.session import written
 
 T = 7
 
@@ -164,11 +167,37 @@ def test_run_without_any_break_over_many_chunks(table):
         assert got == {(tx(n), tx(n + 1)) for n in range(1, 101, 2)}
 
 
-def test_shuffle_of_the_trades_is_reused(spark, table):
-    rows = alternating(range(0, 303, 3))
-    pairs = roundtrips(table(rows), WashSettings(window_seconds=3, windows_per_chunk=2))
-    pairs.collect()
-    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+def test_windows_are_evaluated_once(spark, table, monkeypatch):
+    """The edges are written once; what follows joins them with the carried parities and has no window."""
+    plans = []
+    monkeypatch.setattr(wash, "written", lambda df, name: plans.append(df) or written(df, name))
+    result = wash_trades(table(alternating(range(0, 303, 3))), WashSettings(window_seconds=3, windows_per_chunk=2))
+    result.collect()
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 1 and "Window" in text(plans[0])
+    assert "Window" not in text(result) and "Python" not in text(result)
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 64])
+def test_carried_bits_equal_a_walk(spark, fanout):
+    rng = random.Random(fanout)
+    rows, wanted = [], set()
+    for key in range(6):
+        chunk, bit, reached = 5, 0, None
+        for _ in range(rng.randint(0, 40)):
+            chunk += rng.choice([1, 1, 1, 2, 7])
+            out0, is_open = rng.randrange(2), rng.random() < 0.8
+            into = chunk + rng.choice([1, 1, 1, 2])
+            arrives = bit if reached == chunk else 0
+            rows.append((key, chunk, into, out0, 1 - out0 if is_open else out0))
+            bit, reached = (rows[-1][4] if arrives else out0), into
+            if bit:
+                wanted.add((key, into))
+            # The next chunk of the trader comes no earlier than the one this run reaches.
+            chunk = into - 1 if rng.random() < 0.7 else into
+    table = spark.createDataFrame(rows, "k int, chunk long, into long, out0 int, out1 int")
+    assert {tuple(r) for r in carried_bits(table, ["k"], fanout).collect()} == wanted
+    assert carried_bits(table.limit(0), ["k"]).count() == 0
 
 
 def test_pattern_records(table):

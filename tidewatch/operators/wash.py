@@ -10,7 +10,8 @@ One trader can hold a large part of the table (a router contract in the main poo
 (pool, trader, time chunk). Since an edge never spans more than the time window, a chunk that also
 sees the first ``window`` seconds after its end knows all edges that start in it. A run may go on
 over chunk borders; then only the parity of its length has to be carried over, one row per chunk
-in which that happens.
+in which that happens. Such rows are composed over a tree of chunks (``scan``). Windows are evaluated once:
+the edges are written, then their small table of carried parities is joined.
 
 Traders with too many trades in one chunk get chunks shorter than the time window. Repeating a whole
 window of trades would then be too much; the first trade of the trader's next chunk is enough, because
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions.labels import wash_direction
 from tidewatch.functions.parsing import decimal_of, double_of, long_of
 from tidewatch.functions.scoring import price_dispersion, sqrt_price_to_price, wash_confidence
+from tidewatch.operators.scan import carried_bits
 from tidewatch.operators.skew import heavy_keys, only_heavy
 from tidewatch.schemas import AMOUNT, USD, WASH_INPUT, WASH_SCHEMA, require_columns
+from tidewatch.session import written
 
 TRADER = ["pool", "sender"]
 CHUNK = TRADER + ["chunk"]
@@ -110,13 +113,16 @@ def _chunked(trades: DataFrame, order: list[str], settings: WashSettings) -> Dat
         .withColumn("width", F.lit(settings.short_chunk_seconds))
         .withColumn("chunk", _chunk(F.col("ts")))
     )
-    # Combined map-side; at most one row per chunk, so a trader's rows are bounded by the calendar.
+    # A chunk's first trade goes to the chunks before it from which an edge may lead to it, and each of those takes the
+    # earliest it gets. Minima are combined map-side; a chunk without trades of its own ends up with one row and no edge.
     first = short.groupBy(*CHUNK, "width").agg(F.min(F.struct(*order)).alias("first"))
-    previous = F.lag("chunk").over(Window.partitionBy(*TRADER).orderBy("chunk"))
+    reach = -(-window // settings.short_chunk_seconds) + 1
+    behind = F.explode(F.sequence(F.col("chunk") - reach, F.col("chunk") - 1))
     ahead = (
-        first.withColumn("previous", previous)
-        .where(F.col("previous").isNotNull())
-        .select(*TRADER, "first.*", "width", F.col("previous").alias("chunk"))
+        first.select(*TRADER, "width", "first", behind.alias("chunk"))
+        .groupBy(*CHUNK, "width")
+        .agg(F.min("first").alias("first"))
+        .select(*TRADER, "first.*", "width", "chunk")
     )
     return (
         long_chunks(trades.join(busy, TRADER, "left_anti"))
@@ -164,30 +170,17 @@ def _edges(df: DataFrame, settings: WashSettings) -> DataFrame:
 
 
 def _carried(edges: DataFrame) -> DataFrame:
-    """Odd run lengths that reach over a chunk border, as (pool, sender, chunk they reach into).
-
-    One row per chunk and trader at most, and only where a run does cross the border: the window
-    over a trader is bounded by the calendar, not by its trades.
-    """
+    """Chunks into which a run of odd length reaches, as (pool, sender, chunk, carry)."""
     into = _chunk(F.col("next.ts"))
+    odd = F.col("position") % 2
     crossing = edges.where(into > F.col("chunk")).select(
-        *CHUNK, into.alias("into"), "position", "open_run"
-    )
-    by_time = Window.partitionBy(*TRADER).orderBy("chunk")
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    continues = F.col("open_run") & F.coalesce(
-        F.lag("into").over(by_time) == F.col("chunk"), F.lit(False)
-    )
-    in_run = Window.partitionBy(*TRADER, "run").orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return (
-        crossing.withColumn("starts", F.when(continues, 0).otherwise(1))
-        .withColumn("run", F.sum("starts").over(so_far))
-        .withColumn("length", F.sum("position").over(in_run))
-        .where(F.col("length") % 2 == 1)
-        .select(*TRADER, F.col("into").alias("chunk"), F.lit(1).alias("carry"))
+        *CHUNK,
+        into.alias("into"),
+        odd.cast("int").alias("out0"),
+        # A run that was open at the chunk's start goes on counting from what came in.
+        F.when(F.col("open_run"), 1 - odd).otherwise(odd).cast("int").alias("out1"),
     )
+    return carried_bits(crossing, TRADER).withColumn("carry", F.lit(1))
 
 
 def consecutive_pairs(df: DataFrame, settings: WashSettings = WashSettings()) -> DataFrame:
@@ -214,7 +207,7 @@ def _leg_columns() -> list[Column]:
 
 
 def _roundtrips(df: DataFrame, settings: WashSettings) -> DataFrame:
-    edges = _edges(df, settings)
+    edges = written(_edges(df, settings), "edges")
     placed = edges.join(_carried(edges), CHUNK, "left")
     carry = F.when(F.col("open_run"), F.coalesce(F.col("carry"), F.lit(0))).otherwise(F.lit(0))
     return placed.where((F.col("position") + carry) % 2 == 1).select(*_leg_columns())
