@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import utc_date
-from tidewatch.functions.parsing import as_decimal, decimal_of, double_of
+from tidewatch.functions.parsing import as_decimal, decimal_of, long_of, usd_of
+from tidewatch.functions.wide import as_wide, wide_abs, wide_key, wide_of, wide_text
 from tidewatch.schemas import USD
 
 
@@ -23,7 +24,10 @@ def pool_time_range(df: DataFrame, pool: str, start: int, end: int) -> DataFrame
     chosen = (F.col("pool") == pool.lower()) & F.col("timestamp").between(start, end)
     if "day" in df.columns:
         chosen &= F.col("day").between(utc_date(F.lit(start)), utc_date(F.lit(end)))
-    return df.where(chosen).orderBy("timestamp")
+    # Swaps of one second follow each other as in the detectors, as far as narrow columns tell.
+    numbers = [long_of(df, name) for name in ("block_number", "log_index") if name in df.columns]
+    rest = [name for name in ("tx_hash",) if name in df.columns]
+    return df.where(chosen).orderBy("timestamp", *numbers, *rest)
 
 
 def lookback_hours(df: DataFrame, pool: str, end: int, hours: int = 24) -> DataFrame:
@@ -34,7 +38,7 @@ def min_usd(df: DataFrame, minimum: float) -> DataFrame:
     """``amount_usd >= minimum``; nothing happens for 0 and below or without the column."""
     if minimum <= 0 or "amount_usd" not in df.columns:
         return df
-    return df.where(double_of(df, "amount_usd") >= float(minimum))
+    return df.where(usd_of(df) >= float(minimum))
 
 
 def by_pool(df: DataFrame, pool: str) -> DataFrame:
@@ -48,29 +52,27 @@ def by_sender(df: DataFrame, sender: str) -> DataFrame:
 def by_value_range(
     df: DataFrame, low: Decimal | None = None, high: Decimal | None = None
 ) -> DataFrame:
-    """Exact decimal bounds, both included, each optional.
-
-    Digits beyond the 18th place of a text count as well, and a number too long for a decimal lies beyond every bound.
-    A text with an exponent is taken at 18 places.
-    """
-    usd, past = decimal_of(df, "amount_usd"), _past_decimal(df, "amount_usd")
-    huge = F.when(usd.isNull(), double_of(df, "amount_usd"))
+    """Exact decimal bounds, both included, each optional. Every digit of a text counts, also with an exponent and beyond 18 places."""
     if low is not None:
-        bound = F.lit(str(low)).cast(USD)
-        df = df.where((usd > bound) | ((usd == bound) & (past >= 0)) | (huge > 0))
+        df = df.where(_compared(df, "amount_usd", low) >= 0)
     if high is not None:
-        bound = F.lit(str(high)).cast(USD)
-        df = df.where((usd < bound) | ((usd == bound) & (past <= 0)) | (huge < 0))
+        df = df.where(_compared(df, "amount_usd", high) <= 0)
     return df
 
 
-def _past_decimal(df: DataFrame, name: str) -> Column:
-    """Sign of what a number text is beyond its value at 18 places: half and more was rounded away from zero."""
+def _compared(df: DataFrame, name: str, bound: Decimal) -> Column:
+    """-1, 0 or 1: how a column of numbers lies to a bound. Text that a decimal holds is compared as one, other text digit by digit."""
+    value, limit = decimal_of(df, name), F.lit(str(bound)).try_cast(USD)
+    short = F.signum(value - limit).cast("int")
     if df.schema[name].dataType.typeName() != "string":
-        return F.lit(0)
-    rest = F.regexp_extract(name, "[.][0-9]{18}([0-9]+) *$", 1)
-    away = F.when(rest.rlike("^[5-9]"), -1).when(rest.rlike("[1-9]"), 1).otherwise(0)
-    return F.when(F.startswith(F.ltrim(name), F.lit("-")), -away).otherwise(away)
+        return short
+    both = F.struct(wide_key(as_wide(F.col(name))).alias("key"), wide_key(wide_of(bound)).alias("bound"))
+    compared = F.transform(F.array(both), lambda x: F.when(x["key"] > x["bound"], 1).when(x["key"] < x["bound"], -1).when(x["key"] == x["bound"], 0))
+    exact = F.get(compared, F.lit(0))
+    fits = value.isNotNull() & limit.isNotNull() & ~F.col(name).rlike("[eE]|[.][0-9]{19}")
+    if -bound.as_tuple().exponent > 18:
+        return exact
+    return F.when(fits, short).otherwise(exact)
 
 
 def min_confidence(df: DataFrame, minimum: float) -> DataFrame:
@@ -82,7 +84,7 @@ def high_confidence(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def with_swap_values(df: DataFrame) -> DataFrame:
-    """Adds ``usd_value``, ``abs_amount0`` and ``abs_amount1`` as exact decimals."""
+    """Adds ``usd_value``, ``abs_amount0`` and ``abs_amount1`` as exact decimals; for 1e20 and above see ``with_exact_values``."""
     return df.withColumns(
         {
             "usd_value": decimal_of(df, "amount_usd"),
@@ -92,6 +94,17 @@ def with_swap_values(df: DataFrame) -> DataFrame:
     )
 
 
+def with_exact_values(df: DataFrame) -> DataFrame:
+    """Adds ``usd_exact``, ``abs_amount0_exact`` and ``abs_amount1_exact``: canonical text, whatever the number of digits."""
+    return df.withColumns(
+        {
+            "usd_exact": wide_text(as_wide(F.col("amount_usd"))),
+            "abs_amount0_exact": wide_text(wide_abs(as_wide(F.col("amount0")))),
+            "abs_amount1_exact": wide_text(wide_abs(as_wide(F.col("amount1")))),
+        }
+    )
+
+
 def time_span_seconds() -> Column:
     return F.col("last_timestamp") - F.col("first_timestamp")
 
