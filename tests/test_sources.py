@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import POOL, T0, address, swap, tx
-from tidewatch.operators import cleaning
-from tidewatch.operators.filters import pool_time_range
+from tidewatch.operators import cleaning, quality
+from tidewatch.operators.filters import by_pool, by_sender, min_usd, pool_time_range
+from tidewatch.operators.sandwich import SandwichSettings, tradable_swaps
 from tidewatch.plans import jobs
 from tidewatch.schemas import SWAP_COLUMNS
 from tidewatch.sources import parquet, raw_json
@@ -150,3 +152,101 @@ def test_broken_lines_are_kept_apart(spark, tmp_path):
     stream = spark.read.parquet(paths[0])
     assert stream.count() == 3 and "day" in stream.columns
     assert sorted(r.line for r in spark.read.parquet(paths[2]).collect()) == sorted(broken)
+
+
+def scan_rows(df):
+    """Rows that the scans of a collected result have read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, open_nodes = 0, [plan]
+    while open_nodes:
+        node = open_nodes.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().get("numOutputRows").get().value()
+        children = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        children += [node.plan()] if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")) else []
+        it = node.children().iterator()
+        while it.hasNext():
+            children.append(it.next())
+        open_nodes += children
+    return found
+
+
+def test_one_pool_or_sender_skips_row_groups_and_a_minimum_reaches_the_scan(spark, table, tmp_path):
+    rows = [swap(i, i % 97, i // 50, -1, 1, str(i % 1000), pool=address(i % 40)) for i in range(4000)]
+    path = str(tmp_path / "swaps")
+    spark.conf.set("spark.hadoop.parquet.block.size", "20000")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "20000")
+    try:
+        parquet.write_swaps(cleaning.project_canonical(table(rows)), path)
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.unset("spark.hadoop.parquet.block.size")
+    stored = spark.read.parquet(path)
+    one_pool = by_pool(stored, address(3)).select("tx_hash")
+    assert one_pool.count() == 100 and scan_rows(one_pool) < 1000
+    nobody = by_sender(stored, address(55555)).select("tx_hash")
+    # Between the least and the greatest sender of every row group: only the Bloom filters can tell.
+    inside = by_sender(stored, address(50) [:-1] + "x").select("tx_hash")
+    assert scan_rows(nobody) == 0 and scan_rows(inside) == 0
+    large = min_usd(stored, 990.0).select("tx_hash")
+    assert large.count() == 40
+    modes = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+    for frame in (large, tradable_swaps(stored, SandwichSettings(min_usd=990.0)).select("seq")):
+        assert "GreaterThanOrEqual(amount_usd_double,990.0)" in frame._jdf.queryExecution().explainString(modes.fromString("formatted"))
+    back = parquet.read_swaps(spark, path)
+    assert back.drop("day").columns == SWAP_COLUMNS
+
+
+def test_elements_that_are_no_payload_are_kept_apart(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    good = '{"id": "0x1#0", "timestamp": "1700000000", "pool": {"id": "0xa"}}'
+    broken = [f"[null, {good}]", "{}", "[{}]", "[null]", '{"other": 1}', '{"transaction": {}}']
+    (landed / "a.json").write_text("\n".join([good, *broken, "[]"]) + "\n")
+    raw = str(tmp_path / "raw")
+    assert jobs.fetch_job(spark, str(landed), raw) == len(broken)
+    assert [r.pool for r in spark.read.parquet(raw).collect()] == ["0xa"] * 2
+    assert sorted(r.line for r in spark.read.parquet(f"{raw}-rejected").collect()) == sorted(broken)
+
+
+def test_cleaning_reads_the_raw_table_once(spark, table, tmp_path, monkeypatch):
+    rows = [swap(i, i % 5, i, -1, 1, "50") for i in range(40)]
+    rows[3]["pool"], rows[4]["amount0"], rows[5]["timestamp"] = "0xinvalid", "many", "soon"
+    rows += [dict(rows[0]), {**rows[7], "pool": "  " + rows[7]["pool"].upper().replace("0X", "0x") + " "}]
+    raw = str(tmp_path / "raw")
+    parquet.write_table(table(rows), raw)
+    reads = []
+    once = quality.check_once
+    monkeypatch.setattr(quality, "check_once", lambda source: reads.append(source) or once(source))
+    paths = jobs.CleanPaths(str(tmp_path / "clean"), str(tmp_path / "report"), str(tmp_path / "bad"))
+    outcome = jobs.clean_job(spark, raw, paths)
+    # All later steps read the checked table, not the raw one.
+    assert len(reads) == 1 and not [f for f in outcome.checked.rows.inputFiles() if "/raw/" in f]
+    assert scan_rows(reads[0]) == 42
+    assert (outcome.checked.total_records, outcome.checked.invalid_records, outcome.duplicates) == (42, 3, 2)
+    # The row with blanks and capitals around its pool is a copy once it is normalised.
+    assert outcome.kept == 37 and outcome.removed == 5
+    assert {r.pool for r in spark.read.parquet(paths.swaps).collect()} == {POOL}
+    assert spark.read.parquet(paths.rejected).count() == 3
+    numbers = {n[0]: n[1:] for n in outcome.checked.numbers}
+    assert numbers["amount_usd"] == (42, 50.0, 50.0, 50.0) and numbers["amount0"][0] == 41 and numbers["timestamp"][0] == 41
+    text = "\n".join(r[0] for r in spark.read.text(paths.report).collect())
+    assert "## Numeric columns" in text and "| amount_usd | 42 | 50.00 | 50.00 | 50.00 |" in text
+    assert "Removed: 5" in text and "Missing columns: none" in text and "Duplicates: 2" in text
+
+
+def test_cleaning_reports_missing_columns(spark, table, tmp_path):
+    raw = str(tmp_path / "raw")
+    parquet.write_table(table([swap(i, 1, i, -1, 1) for i in range(3)]).drop("recipient", "tick").withColumn("note", F.lit("x")), raw)
+    out = jobs.CleanPaths(str(tmp_path / "clean"), str(tmp_path / "report"))
+    outcome = jobs.clean_job(spark, raw, out)
+    text = "\n".join(r[0] for r in spark.read.text(out.report).collect())
+    assert "Missing columns: recipient, tick" in text and "recipient: not an address" in text
+    assert (outcome.checked.valid_records, outcome.kept) == (0, 3)
+    empty = str(tmp_path / "empty")
+    parquet.write_table(table([]), empty)
+    nothing = jobs.clean_job(spark, empty, jobs.CleanPaths(str(tmp_path / "c2"), str(tmp_path / "r2")), strict=True)
+    assert (nothing.checked.total_records, nothing.checked.success_rate, nothing.kept, nothing.duplicates) == (0, 100.0, 0, 0)
+    assert nothing.checked.numbers[0] == ("timestamp", 0, None, None, None)

@@ -36,8 +36,9 @@ def backfill_columns(df: DataFrame) -> DataFrame:
 
 
 def lowercase_addresses(df: DataFrame) -> DataFrame:
+    """Addresses in lower case and without blanks at their ends, which would make them other addresses to every join."""
     return df.withColumns(
-        {name: F.lower(F.col(name).cast("string")) for name in ADDRESS_COLUMNS}
+        {name: F.lower(F.trim(F.col(name).cast("string"))) for name in ADDRESS_COLUMNS}
     )
 
 

@@ -45,25 +45,47 @@ def _percent(part: Column, whole: Column) -> Column:
 # --- swaps -----------------------------------------------------------------------------------
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the exact number of distinct values of each column, nulls not counted.
+
+    A distinct and a count per column instead of one aggregate of all, which would copy each row once per column: every
+    branch reads one column and shuffles its distinct values.
+    """
+    parts = None
+    for name in columns:
+        values = df.select(F.col(name).alias("value")).where("value IS NOT NULL").distinct()
+        part = values.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in columns])
+
+
+def _with_distinct(df: DataFrame, plain: dict[str, Column], distinct: dict[str, str], order: list[str]) -> DataFrame:
+    """One row of ordinary aggregates and of distinct counts by the names in ``distinct``."""
+    totals = df.agg(*[value.alias(name) for name, value in plain.items()])
+    counts = distinct_counts(df, list(distinct.values())).select(*[F.col(column).alias(name) for name, column in distinct.items()])
+    # Two rows with a part of the columns each become one.
+    both = totals.unionByName(counts, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in order])
+
+
 def run_counters(swaps: DataFrame) -> DataFrame:
     """Rows and distinct pools before any filter."""
-    return swaps.agg(
-        F.count(F.lit(1)).alias("total_swaps_analyzed"),
-        F.count_distinct("pool").alias("pools_analyzed"),
+    return _with_distinct(
+        swaps, {"total_swaps_analyzed": F.count(F.lit(1))}, {"pools_analyzed": "pool"}, ["total_swaps_analyzed", "pools_analyzed"]
     )
 
 
 def swap_set_stats(swaps: DataFrame) -> DataFrame:
-    return swaps.agg(
-        F.count(F.lit(1)).alias("total_count"),
-        F.count_distinct("pool").alias("unique_pools"),
-        F.count_distinct("sender").alias("unique_senders"),
-        F.count_distinct("recipient").alias("unique_recipients"),
-        F.min("timestamp").alias("first_timestamp"),
-        F.max("timestamp").alias("last_timestamp"),
-        F.min("block_number").alias("first_block"),
-        F.max("block_number").alias("last_block"),
-    )
+    plain = {
+        "total_count": F.count(F.lit(1)),
+        "first_timestamp": F.min("timestamp"),
+        "last_timestamp": F.max("timestamp"),
+        "first_block": F.min("block_number"),
+        "last_block": F.max("block_number"),
+    }
+    distinct = {"unique_pools": "pool", "unique_senders": "sender", "unique_recipients": "recipient"}
+    order = ["total_count", *distinct, *list(plain)[1:]]
+    return _with_distinct(swaps, plain, distinct, order)
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:

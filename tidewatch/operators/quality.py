@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.functions.parsing import DECIMAL_TEXT, WHOLE_NUMBER_TEXT, as_decimal, as_double
 from tidewatch.schemas import (
+    ADDRESS_COLUMNS,
     ADDRESS_PATTERN,
     DUPLICATE_COUNT_KEY,
     MAX_BLOCK,
     MAX_TICK,
     MAX_TIMESTAMP,
     MIN_TIMESTAMP,
+    NUMBER_COLUMNS,
     SWAP_COLUMNS,
     TX_HASH_PATTERN,
     USD,
     WASH_PATTERN_TYPES,
     missing_columns,
 )
+from tidewatch.session import written
 
 ERRORS = "quality_errors"
+VALID = "is_valid"
+COPY_KEY = "copy_key"
 
 
 def _text(name: str) -> Column:
@@ -268,6 +274,15 @@ def schema_findings(df: DataFrame) -> DataFrame:
     )
 
 
+def unusable_rows(df: DataFrame, required: dict[str, list[str]]) -> DataFrame:
+    """(job, missing, rows): required columns that ``df`` lacks, per job, and the rows which that job cannot use."""
+    gaps = [(job, name) for job, names in sorted(required.items()) for name in missing_columns(df, names)]
+    listed = F.array(*[F.struct(F.lit(job).alias("job"), F.lit(name).alias("missing")) for job, name in gaps])
+    if not gaps:
+        listed = F.expr("array_repeat(struct('' as job, '' as missing), 0)")
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(listed).alias("g"), "rows").select("g.job", "g.missing", "rows")
+
+
 def amounts_consistent(amount0: Column, amount1: Column) -> Column:
     """Opposite signs; false when either cannot be read or is zero."""
     one, other = as_double(amount0), as_double(amount1)
@@ -277,3 +292,90 @@ def amounts_consistent(amount0: Column, amount1: Column) -> Column:
 def usd_value_valid(amount_usd: Column, minimum: Decimal = Decimal("0")) -> Column:
     """Readable and strictly above the minimum, unlike the filters, which include it."""
     return F.coalesce(as_decimal(amount_usd) > F.lit(str(minimum)).cast(USD), F.lit(False))
+
+
+# --- everything about a raw table from one pass over it -------------------------------------------
+
+
+@dataclass(frozen=True)
+class CheckedTable:
+    """A raw table after one pass: its rows with the errors of each, and what was counted on the way."""
+
+    #: Columns of the source, ``quality_errors``, ``is_valid`` and ``copy_key`` (two hashes of what makes a copy).
+    rows: DataFrame
+    columns: list[str]
+    missing: list[str]
+    total_records: int
+    valid_records: int
+    #: Per column of numbers, as (column, readable values, min, max, mean); text that is no number is left out.
+    numbers: list[tuple[str, int, float | None, float | None, float | None]]
+
+    @property
+    def invalid_records(self) -> int:
+        return self.total_records - self.valid_records
+
+    @property
+    def success_rate(self) -> float:
+        return 100.0 * self.valid_records / self.total_records if self.total_records else 100.0
+
+    def source_rows(self) -> DataFrame:
+        return self.rows.select(*self.columns)
+
+    def valid_rows(self) -> DataFrame:
+        return self.rows.where(VALID).select(*self.columns)
+
+    def rejected_rows(self) -> DataFrame:
+        return self.rows.where(f"NOT {VALID}").select(*self.columns, ERRORS)
+
+    def errors(self, key: list[str]) -> DataFrame:
+        return validation_errors(self.rows.where(f"NOT {VALID}"), key)
+
+    def duplicates(self) -> DataFrame:
+        """As ``duplicate_count``, from the hashes that the pass has written: 16 bytes a row are shuffled."""
+        per_key = self.rows.where(f"{COPY_KEY} IS NOT NULL").groupBy(COPY_KEY).agg(F.count(F.lit(1)).alias("n"))
+        return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))
+
+
+def _copy_key(df: DataFrame) -> Column:
+    """128 bits of the columns that make a row a copy of another one; null without such columns."""
+    key = [name for name in DUPLICATE_COUNT_KEY if name in df.columns]
+    if not key:
+        return F.lit(None).cast("struct<h1: bigint, h2: bigint>")
+    parts = [c for name in key for c in (F.col(name).isNull(), F.col(name))]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
+def check_once(source: DataFrame) -> CheckedTable:
+    """Checks all rows of a raw swap table, reading it once.
+
+    The checked rows are written to the shared folder, with the sums observed on that write; whatever needs the rows later
+    reads that table. A required column that is missing is null, and so an error, in every row.
+    """
+    missing = missing_columns(source, SWAP_COLUMNS)
+    present = source.withColumns({name: F.lit(None).cast("string") for name in missing})
+    checked = with_swap_errors(present).withColumn(VALID, is_valid()).withColumn(COPY_KEY, _copy_key(source))
+    checked = checked.select(*source.columns, ERRORS, VALID, COPY_KEY)
+    counted = [name for name in NUMBER_COLUMNS if name in source.columns]
+    numbers = {name: as_double(F.col(name).cast("string")) for name in counted}
+    seen = Observation()
+    observed = checked.observe(
+        seen,
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(VALID).alias("valid"),
+        *[
+            how(value).alias(f"{what}_{name}")
+            for name, value in numbers.items()
+            for what, how in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg))
+        ],
+    )
+    rows = written(observed, "checked")
+    got = seen.get
+    summary = [(name, *(got[f"{what}_{name}"] for what in ("n", "min", "max", "mean"))) for name in counted]
+    return CheckedTable(rows, source.columns, missing, got["total"], got["valid"], summary)
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """Text without blanks at its ends; addresses and hashes in lower case: what a valid row is handed on as."""
+    lowered = [name for name in [*ADDRESS_COLUMNS, "tx_hash"] if name in df.columns]
+    text = {f.name: F.trim(f.name) for f in df.schema.fields if f.dataType.typeName() == "string" and f.name in SWAP_COLUMNS}
+    return df.withColumns({name: F.lower(F.trim(F.col(name).cast("string"))) if name in lowered else value for name, value in text.items()})

@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.operators import filters, quality
 from tidewatch.operators.cleaning import clean_swaps, project_canonical
 from tidewatch.operators.profiling import sandwich_by_pool, wash_sorted
 from tidewatch.operators.sandwich import SandwichSettings, sandwich_candidates
 from tidewatch.operators.wash import WashSettings, wash_trades
-from tidewatch.schemas import SANDWICH_SCHEMA, WASH_SCHEMA
+from tidewatch.schemas import SANDWICH_SCHEMA, SWAP_COLUMNS, WASH_SCHEMA
 from tidewatch.session import cut
 from tidewatch.sources import parquet, raw_json, reports
 
@@ -28,6 +29,19 @@ class CleanPaths:
     rejected: str | None = None
 
 
+@dataclass(frozen=True)
+class CleanOutcome:
+    """What a cleaning run found: the checked table, copies, and rows of the cleaned table."""
+
+    checked: quality.CheckedTable
+    duplicates: int
+    kept: int
+
+    @property
+    def removed(self) -> int:
+        return self.checked.total_records - self.kept
+
+
 def fetch_job(spark: SparkSession, landed: str, swaps: str, rejected: str | None = None) -> int:
     """Landed JSON payloads to a swap table in canonical column order.
 
@@ -46,21 +60,24 @@ def clean_job(
     out: CleanPaths,
     min_usd: float = 0.0,
     strict: bool = False,
-) -> None:
-    """Validates and cleans. Invalid rows are reported; they leave the cleaned table only where
-    ``rejected`` names a table to quarantine them in. The cleaned table has the canonical typed columns."""
-    source = parquet.read_as_text(spark, raw)
-    checked = quality.with_swap_errors(source)
-    kept = source
+) -> CleanOutcome:
+    """Validates and cleans, reading the raw table once. Invalid rows are reported; they leave the cleaned table only where
+    ``rejected`` names a table to quarantine them in, and then valid ones are normalised. The cleaned table has the canonical typed columns."""
+    stored = spark.read.parquet(raw)
+    source = stored.select(*[F.col(name).cast("string").alias(name) for name in SWAP_COLUMNS if name in stored.columns])
+    checked = quality.check_once(source)
+    kept = checked.source_rows()
     if out.rejected:
-        kept, rejected = quality.quarantine(checked)
-        parquet.write_table(rejected, out.rejected)
+        kept = quality.normalised(checked.valid_rows())
+        parquet.write_table(checked.rejected_rows(), out.rejected)
     cleaned = filters.min_usd(clean_swaps(kept), min_usd)
-    parquet.write_swaps(project_canonical(cleaned), out.swaps)
-    text = reports.cleaning_report(source, checked, ["tx_hash", "timestamp"])
-    reports.save_report(spark, text, out.report)
-    if strict and not quality.validation_summary(checked).first()["is_valid"]:
+    seen = Observation()
+    parquet.write_swaps(project_canonical(cleaned).observe(seen, F.count(F.lit(1)).alias("n")), out.swaps)
+    outcome = CleanOutcome(checked, checked.duplicates().first()["duplicate_count"], seen.get["n"])
+    reports.save_report(spark, reports.cleaning_report(checked, outcome.duplicates, outcome.kept, ["tx_hash", "timestamp"]), out.report)
+    if strict and checked.invalid_records:
         raise InvalidRows("invalid rows found; see the report")
+    return outcome
 
 
 def sandwich_job(

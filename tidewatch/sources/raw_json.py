@@ -52,22 +52,33 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _objects(column: str) -> Column:
-    """The payloads of a line, an object or an array of them; null where the line is neither."""
+    """The objects of a line, one or an array of them; null where the line is neither."""
     return F.from_json(column, T.ArrayType(PAYLOAD_SCHEMA))
 
 
+def _is_payload(element: Column) -> Column:
+    """Whether an element has any field of a payload: null and ``{}`` have none and are no swap."""
+    nested = [element["transaction"]["id"], element["transaction"]["blockNumber"]]
+    return F.coalesce(*[element[name] for name in _LEAVES], *nested).isNotNull()
+
+
 def parse_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Payload columns from a text column of JSON objects. Blank and broken lines give no row (``broken_lines``).
+    """Payload columns from a text column of JSON objects. Blank and broken lines, and elements without any field of a
+    payload, give no row (``broken_lines``).
 
     Through a generator each line is parsed once; a plain struct would be parsed again for every
     use of one of its fields, because projections are merged.
     """
-    return lines.select(F.inline(_objects(column)))
+    return lines.select(F.inline(F.filter(_objects(column), _is_payload)))
 
 
 def broken_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines that hold text but no JSON object, as they are."""
-    return lines.where((F.trim(column) != "") & _objects(column).isNull()).select(F.col(column).alias("line"))
+    """Lines that hold text but no JSON object, or an element that is no payload, as they are.
+
+    A line with both kinds of elements is here as a whole, and its payloads are swaps all the same.
+    """
+    every = F.forall(_objects(column), _is_payload)
+    return lines.where((F.trim(column) != "") & ~F.coalesce(every, F.lit(False))).select(F.col(column).alias("line"))
 
 
 def normalise_payloads(payloads: DataFrame) -> DataFrame:

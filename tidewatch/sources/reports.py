@@ -24,39 +24,35 @@ def _number(value: float | None) -> str:
     return "N/A" if value is None else f"{value:.2f}"
 
 
-def cleaning_report(raw: DataFrame, checked: DataFrame, key: list[str]) -> str:
-    summary = Q.validation_summary(checked).first()
-    copies = Q.duplicate_count(raw).first()["duplicate_count"]
-    # One row more than is shown tells nothing; the summary already has the full count.
-    sample = Q.error_sample(Q.validation_errors(checked, key), key, 5).collect()
+def cleaning_report(checked: Q.CheckedTable, duplicates: int, kept: int, key: list[str]) -> str:
+    """Page on a cleaning run; ``kept`` is the number of rows of the cleaned table."""
+    key = [name for name in key if name in checked.columns]
+    sample = Q.error_sample(checked.errors(key), key, 5).collect() if checked.invalid_records else []
     lines = [
         "# Swap cleaning report",
         "",
-        f"- Rows: {summary['total_records']:,}",
-        f"- Valid: {summary['valid_records']:,}",
-        f"- Invalid: {summary['invalid_records']:,}",
-        f"- Success rate: {summary['success_rate']:.2f}%",
-        f"- Duplicates: {copies:,}",
-        f"- Columns: {', '.join(raw.columns)}",
+        f"- Rows: {checked.total_records:,}",
+        f"- Valid: {checked.valid_records:,}",
+        f"- Invalid: {checked.invalid_records:,}",
+        f"- Success rate: {checked.success_rate:.2f}%",
+        f"- Duplicates: {duplicates:,}",
+        f"- Rows after cleaning: {kept:,}",
+        f"- Removed: {checked.total_records - kept:,}",
+        f"- Columns: {', '.join(checked.columns)}",
+        f"- Missing columns: {', '.join(checked.missing) or 'none'}",
         "",
     ]
     if sample:
         lines += ["## Sample errors", ""]
         lines += [f"- {', '.join(str(row[name]) for name in key)}: {row['error']}" for row in sample]
-        more = summary["invalid_records"] - len(sample)
+        more = checked.invalid_records - len(sample)
         lines += [f"- ... and {more:,} more"] if more > 0 else []
         lines += [""]
-    numbers = P.numeric_summary(raw).orderBy("column").collect() if _has_numbers(raw) else []
-    if numbers:
-        rows = [[n["column"], _number(n["min"]), _number(n["max"]), _number(n["mean"])] for n in numbers]
-        lines += ["## Numeric columns", "", *_table(["Column", "Min", "Max", "Mean"], rows)]
+    rows = [[name, f"{n:,}", _number(low), _number(high), _number(mean)] for name, n, low, high, mean in checked.numbers]
+    lines += ["## Numeric columns", "", *_table(["Column", "Numbers", "Min", "Max", "Mean"], rows)] if rows else []
     return "\n".join(lines)
 
 
-def _has_numbers(df: DataFrame) -> bool:
-    return any(kind != "string" for _, kind in df.dtypes)
-
-
 def sandwich_report(
     candidates: DataFrame,
     swaps: DataFrame,
