@@ -258,7 +258,14 @@ _HOT_POOL = f"""{SWAPS},
 hot AS (SELECT * REPLACE (
     '0x' || repeat('9', 40) AS pool,
     CASE WHEN block_number % 3 = 0 THEN '0x' || repeat('5', 40) ELSE sender END AS sender) FROM swaps),
-{_sandwich(3600, "20000", "0.8e0", "hot")}"""
+{_sandwich(7200, "5000", "0.5e0", "hot")}"""
+_HOT_DAY = _HOT_POOL.replace(_sandwich(7200, "5000", "0.5e0", "hot"), _sandwich(86400, "10000", "0.5e0", "hot"))
+_ATTACKS = """SELECT pool, attacker, front_run_tx, back_run_tx, front_run_timestamp, back_run_timestamp,
+  front_run_amount_usd, back_run_amount_usd,
+  least(front_run_amount_usd, back_run_amount_usd) / greatest(front_run_amount_usd, back_run_amount_usd) AS similarity,
+  profit_estimate_usd, count(*) AS victims,
+  CAST(CAST(sum(CAST(CAST(victim_amount_usd AS VARCHAR) AS DECIMAL(36,18))) AS DECIMAL(38,18)) AS VARCHAR) AS victim_volume_usd
+FROM sand GROUP BY ALL"""
 _ONE_TRADER = f"""{SWAPS},
 hot AS (SELECT * REPLACE ('0x' || repeat('9', 40) AS pool, '0x' || repeat('5', 40) AS sender) FROM swaps),
 {_roundtrips(3600, "500", "hot")}"""
@@ -268,6 +275,11 @@ typed AS (SELECT * REPLACE (
     lower(pool) AS pool, lower(sender) AS sender, lower(recipient) AS recipient)
   FROM raw WHERE TRY_CAST(timestamp AS DOUBLE) IS NOT NULL),
 {_dedup("typed", "kept")}"""
+_ATTACKER_TOTALS = """SELECT attacker, count(DISTINCT (pool, front_run_tx, back_run_tx)) AS pairs, count(*) AS victims,
+  count(DISTINCT pool) AS pools,
+  CAST(CAST(sum(CAST(CAST(victim_amount_usd AS VARCHAR) AS DECIMAL(36,18))) AS DECIMAL(38,18)) AS VARCHAR) AS victim_volume_usd,
+  max(profit_estimate_usd) AS largest_profit_usd
+FROM sand GROUP BY attacker"""
 _ALL_FOUND = _with(FOUND, "SELECT * FROM sand")
 
 
@@ -293,6 +305,39 @@ def _count_per(key: str, name: str) -> str:
 _DAY = "CAST(make_timestamp(victim_timestamp * 1000000) AS DATE)"
 _HOUR = "CAST(victim_timestamp % 86400 // 3600 AS INTEGER)"
 
+# Numbers of four shapes by block_number % 4: as written, and in canonical form.
+_PLACES = "rtrim('.' || lpad(CAST({0} AS VARCHAR), 30, '0'), '0')"
+_WIDE = f"""{SWAPS},
+wide AS (
+  SELECT *, CASE shape WHEN 0 THEN '-' || b || repeat('0', 35) || {_PLACES.format("b")} WHEN 1 THEN b || '.5'
+      WHEN 2 THEN b || repeat('0', 40) ELSE '0' || {_PLACES.format("b")} END AS exact,
+    CASE shape WHEN 0 THEN '-' || b || repeat('0', 35) || '.' || lpad(CAST(b AS VARCHAR), 30, '0') WHEN 1 THEN '+000' || b || '.500'
+      WHEN 2 THEN b || 'e40' ELSE b || 'E-30' END AS written
+  FROM (SELECT tx_hash, pool, block_number AS b, block_number % 4 AS shape FROM swaps WHERE block_number > 0))"""
+_VALID_CLEANED = f"""{CHECKED},
+typed_valid AS (SELECT * EXCLUDE (errors) REPLACE (
+    CAST(timestamp AS BIGINT) AS timestamp, lower(pool) AS pool, lower(sender) AS sender, lower(recipient) AS recipient)
+  FROM checked WHERE len(errors) = 0),
+{_dedup("typed_valid", "kept_valid")}"""
+_ROBUST = """SELECT tx_hash, round(CASE WHEN mad > 0 THEN (v - med) * 0.6745e0 / mad END, 6) AS robust_z
+FROM (SELECT *, median(abs(v - med)) OVER (PARTITION BY pool) AS mad
+  FROM (SELECT *, median(v) OVER (PARTITION BY pool) AS med FROM (SELECT *, CAST(amount_usd AS DOUBLE) AS v FROM {0})))"""
+_LOOPS = f"""{SWAPS},
+e AS (
+  SELECT pool, '0x' || lpad(CAST(block_number % 10 AS VARCHAR), 40, '0') AS s, '0x' || lpad(CAST(block_number // 10 % 10 AS VARCHAR), 40, '0') AS r,
+    timestamp AS ts, block_number AS b, tx_hash AS tx, CAST(amount_usd AS DECIMAL(38,2)) AS usd
+  FROM swaps WHERE amount_usd >= 500 AND block_number % 10 <> block_number // 10 % 10),
+p(pool, addrs, txs, tip, start, last, lb, lo, hi, vol, k) AS (
+  SELECT pool, [s], [tx], r, ts, ts, b, usd, usd, usd, 1 FROM e
+  UNION ALL
+  SELECT p.pool, list_append(addrs, s), list_append(txs, tx), r, start, ts, b, least(lo, usd), greatest(hi, usd), vol + usd, k + 1
+  FROM p JOIN e ON e.pool = p.pool AND e.s = p.tip AND (e.ts, e.b) > (p.last, p.lb) AND e.ts - p.start <= 43200
+    AND CAST(least(lo, usd) AS DOUBLE) / CAST(greatest(hi, usd) AS DOUBLE) >= 0.6e0
+    AND (e.r = addrs[1] OR NOT list_contains(addrs, e.r))
+  WHERE p.tip <> addrs[1] AND k < 4)
+"""
+
+
 ORACLES: dict[str, str] = {
     # sources, sinks
     "scan_swaps": _with(SWAPS, f"SELECT {TEXT_COLUMNS} FROM swaps"),
@@ -478,6 +523,9 @@ FROM (VALUES ('missing', 'sqrtPriceX96'), ('missing', 'tick'), ('unexpected', 's
     "sandwich_candidates_all": _ALL_FOUND,
     "sandwich_candidates_split": _ALL_FOUND,
     "concat_pools": _ALL_FOUND,
+    "sandwich_attacks_all": _with(FOUND, _ATTACKS),
+    "sandwich_attacks_hot_pool": _with(_HOT_DAY, _ATTACKS),
+    "attacker_totals": _with(FOUND, _ATTACKER_TOTALS),
     "sandwich_hot_pool": _with(_HOT_POOL, "SELECT * FROM sand"),
     "reversal_pairs_all": _with(
         FOUND,
@@ -676,4 +724,85 @@ ORDER BY tx_hash, block_number, error LIMIT 10""",
     ),
     # set operations
     "distinct_attackers": _with(FOUND, "SELECT DISTINCT attacker, pool FROM sand"),
+    # exact numbers of any length
+    "wide_values": _with(
+        _WIDE,
+        "SELECT tx_hash, exact AS usd_exact, ltrim(exact, '-') AS abs_amount0_exact, ltrim(exact, '-') AS abs_amount1_exact FROM wide",
+    ),
+    "wide_value_range": _with(
+        _WIDE, "SELECT tx_hash, written AS amount_usd FROM wide WHERE shape = 1 OR (shape = 2 AND b <= 5000) OR (shape = 3 AND b >= 50)"
+    ),
+    "wide_sums_by_pool": _with(
+        _WIDE,
+        f"""SELECT pool, shape = 0 AS negative, CASE WHEN shape = 0 THEN '-' || n0 || repeat('0', 35) || {_PLACES.format("n0")}
+  ELSE CASE WHEN n2 > 0 THEN n2 || repeat('0', 40) ELSE '0' END || CASE WHEN n3 > 0 THEN {_PLACES.format("n3")} ELSE '' END END AS total
+FROM (SELECT pool, CASE WHEN shape = 0 THEN 0 ELSE 2 END AS shape, CAST(coalesce(sum(b) FILTER (shape = 0), 0) AS BIGINT) AS n0,
+    CAST(coalesce(sum(b) FILTER (shape = 2), 0) AS BIGINT) AS n2, CAST(coalesce(sum(b) FILTER (shape = 3), 0) AS BIGINT) AS n3
+  FROM wide WHERE shape <> 1 GROUP BY ALL)""",
+    ),
+    # cleaning in one pass
+    "cleaning_report": _with(
+        _CLEANED,
+        """SELECT 'rows' AS section, unnest(['total', 'valid', 'invalid', 'duplicates', 'removed']) AS name,
+  unnest([n, 0, n, n - d, n - k]) :: DOUBLE AS value
+FROM (SELECT count(*) AS n, count(DISTINCT (tx_hash, timestamp, sender)) AS d, (SELECT count(*) FROM kept) AS k FROM raw)
+UNION ALL SELECT 'missing', 'recipient', 1
+"""
+        + "\n".join(
+            f"""UNION ALL SELECT '{name}', unnest(['n', 'min', 'max', 'mean']), unnest([count(x), min(x), max(x), round(avg(x), 4)])
+FROM (SELECT TRY_CAST({name} AS DOUBLE) AS x FROM raw)"""
+            for name in ("timestamp", "block_number", "amount0", "amount1", "amount_usd", "tick")
+        ),
+    ),
+    "cleaned_by_job": _with(
+        _VALID_CLEANED,
+        f"""SELECT * REPLACE (CAST(block_number AS BIGINT) AS block_number, CAST(tick AS INTEGER) AS tick)
+FROM (SELECT {COLUMNS} FROM kept_valid WHERE CAST(amount_usd AS DOUBLE) >= 5000)""",
+    ),
+    "strict_cleaning": _with(
+        f"{_CLEANED},\n{_VALID_CLEANED.removeprefix(RAW + ',')}",
+        "SELECT 'raw' AS input, true AS raised, (SELECT count(*) FROM kept) AS written UNION ALL SELECT 'valid', false, (SELECT count(*) FROM kept_valid)",
+    ),
+    "required_columns": _with(
+        SWAPS,
+        """SELECT unnest(['sandwich', 'sandwich', 'wash', 'wash']) AS job, unnest(['amount_usd', 'sender', 'amount_usd', 'sender']) AS missing,
+  count(*) AS rows FROM swaps""",
+    ),
+    "text_order_keys": _with(
+        f"""{SWAPS},
+shared AS (SELECT * REPLACE (timestamp // 21600 * 21600 AS timestamp) FROM swaps),
+{_sandwich(source="shared")}""",
+        "SELECT * FROM sand",
+    ),
+    "dedup_by_number": _with(SWAPS, "SELECT tx_hash, '9' || lpad(CAST(block_number AS VARCHAR), 7, '0') AS block_number FROM swaps"),
+    # statistics per pool, several addresses
+    "robust_z_all": _with(SWAPS, _ROBUST.format("swaps")),
+    "robust_z_hot_pool": _with(
+        f"""{SWAPS},
+hot AS (SELECT * REPLACE (
+    CASE WHEN block_number % 3 = 0 THEN '0x' || repeat('9', 40) ELSE pool END AS pool,
+    CASE WHEN block_number % 5 = 0 THEN CAST(5000 AS DECIMAL(20,2)) ELSE amount_usd END AS amount_usd) FROM swaps)""",
+        _ROBUST.format("hot"),
+    ),
+    "closed_loops": "WITH RECURSIVE "
+    + _LOOPS
+    + """SELECT pool, array_to_string(addrs, '; ') AS addresses, array_to_string(txs, '; ') AS txs, start AS first_timestamp, last AS last_timestamp,
+  CAST(CAST(vol AS DECIMAL(38,18)) AS VARCHAR) AS volume FROM p WHERE tip = addrs[1]""",
+    "closed_loops_split": "WITH RECURSIVE " + _LOOPS + "SELECT pool, array_to_string(txs, '; ') AS txs FROM p WHERE tip = addrs[1]",
+    "closed_loop_patterns": "WITH RECURSIVE "
+    + _LOOPS
+    + """SELECT 'closed_loop' AS detection_type, CAST(k AS BIGINT) AS trade_count, CAST(k AS BIGINT) AS unique_addresses, count(*) AS n,
+  CAST(0 AS BIGINT) AS n_broken FROM p WHERE tip = addrs[1] GROUP BY k""",
+    "coordinated_groups": f"""WITH RECURSIVE {SWAPS},
+present AS (
+  SELECT DISTINCT pool, amount0 < 0 AS buy, timestamp // 3600 AS bucket, length(bin(CAST(floor(amount_usd) AS BIGINT))) AS size, sender
+  FROM swaps WHERE amount_usd >= 500 AND ((amount0 < 0 AND amount1 > 0) OR (amount0 > 0 AND amount1 < 0))),
+pairs AS (SELECT pool, sender AS one, lead(sender) OVER (PARTITION BY pool, buy, bucket, size ORDER BY sender) AS other FROM present),
+edges AS (SELECT pool, one, other, count(*) AS n FROM pairs WHERE other IS NOT NULL GROUP BY ALL HAVING count(*) >= 4),
+twice AS (SELECT pool, one AS u, other AS v FROM edges UNION SELECT pool, other, one FROM edges),
+reach AS (SELECT DISTINCT pool, u, u AS w FROM twice UNION SELECT r.pool, r.u, b.v FROM reach r JOIN twice b ON b.pool = r.pool AND b.u = r.w),
+label AS (SELECT pool, u AS address, min(w) AS group_id FROM reach GROUP BY pool, u)
+SELECT l.*, count(*) OVER (PARTITION BY l.pool, l.group_id) AS group_size, CAST(m.meetings AS BIGINT) AS meetings
+FROM label l JOIN (SELECT e.pool, group_id, sum(n) AS meetings FROM edges e JOIN label x ON x.pool = e.pool AND x.address = e.one GROUP BY ALL) m
+  ON m.pool = l.pool AND m.group_id = l.group_id""",
 }

@@ -17,16 +17,20 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import labels, scoring
 from tidewatch.functions.parsing import as_double
-from tidewatch.operators import cleaning, filters, patterns, profiling, quality
-from tidewatch.operators.quantiles import exact_percentiles
+from tidewatch.functions.wide import wide_sums
+from tidewatch.operators import cleaning, collusion, filters, patterns, profiling, quality
+from tidewatch.operators.quantiles import exact_percentiles, robust_z
 from tidewatch.operators.sandwich import (
     SandwichSettings,
+    attacks_by_attacker,
     order_columns,
     reversal_pairs,
+    sandwich_attacks,
     sandwich_candidates,
 )
 from tidewatch.operators.wash import WashSettings, consecutive_pairs, roundtrips, wash_trades
-from tidewatch.schemas import SWAP_COLUMNS
+from tidewatch.plans import jobs
+from tidewatch.schemas import SANDWICH_INPUT, SWAP_COLUMNS, WASH_INPUT
 from tidewatch.session import cut, shared_folder
 from tidewatch.sources import events, parquet, raw_json
 
@@ -399,18 +403,40 @@ def sandwich_candidates_all(spark, folder):
 
 @query
 def sandwich_candidates_split(spark, folder):
-    """The same table with join keys split from a few rows on: the result must not change."""
-    small = SandwichSettings(21600, 1000.0, 0.5, rows_per_task=40)
+    """The same table with join keys cut into tiles from a few pairs on: the result must not change."""
+    small = SandwichSettings(21600, 1000.0, 0.5, pairs_per_task=100)
     return sandwich_candidates(_swaps(spark, folder), small)
 
 
-@query
-def sandwich_hot_pool(spark, folder):
+def _hot(spark: SparkSession, folder: str) -> DataFrame:
     """All swaps in one pool and a third of them by one sender."""
     swaps = _swaps(spark, folder)
     router = F.when(F.col("block_number") % 3 == 0, F.lit("0x" + "5" * 40)).otherwise(F.col("sender"))
-    hot = swaps.withColumns({"pool": F.lit("0x" + "9" * 40), "sender": router})
-    return sandwich_candidates(hot, SandwichSettings(3600, 20000.0, 0.8, rows_per_task=20))
+    return swaps.withColumns({"pool": F.lit("0x" + "9" * 40), "sender": router})
+
+
+HOT = SandwichSettings(7200, 5000.0, 0.5, pairs_per_task=400)
+
+
+@query
+def sandwich_hot_pool(spark, folder):
+    return sandwich_candidates(_hot(spark, folder), HOT)
+
+
+@query
+def sandwich_attacks_all(spark, folder):
+    return sandwich_attacks(_swaps(spark, folder), SANDWICH)
+
+
+@query
+def sandwich_attacks_hot_pool(spark, folder):
+    """The router's pairs, its victims counted: a window of a day, so each pair has many."""
+    return sandwich_attacks(_hot(spark, folder), SandwichSettings(86400, 10000.0, 0.5))
+
+
+@query
+def attacker_totals(spark, folder):
+    return attacks_by_attacker(sandwich_attacks(_swaps(spark, folder), SANDWICH))
 
 
 @query
@@ -743,3 +769,181 @@ def concat_pools(spark, folder):
 @query
 def distinct_attackers(spark, folder):
     return _found(spark, folder).select("attacker", "pool").distinct()
+
+
+# --- exact numbers of any length ----------------------------------------------------------------
+
+
+def _wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts of four shapes, by ``block_number % 4``: 35 zeros and 30 places, plain, and exponents of 40 and -30."""
+    b = F.col("block_number").cast("string")
+    shape = F.col("block_number") % 4
+    text = (
+        F.when(shape == 0, F.concat(F.lit("-"), b, F.lit("0" * 35 + "."), F.lpad(b, 30, "0")))
+        .when(shape == 1, F.concat(F.lit("+000"), b, F.lit(".500")))
+        .when(shape == 2, F.concat(b, F.lit("e40")))
+        .otherwise(F.concat(b, F.lit("E-30")))
+    )
+    swaps = _swaps(spark, folder).where("block_number > 0")
+    return swaps.withColumns({name: text for name in ("amount0", "amount1", "amount_usd")})
+
+
+@query
+def wide_values(spark, folder):
+    return filters.with_exact_values(_wide(spark, folder)).select("tx_hash", "usd_exact", "abs_amount0_exact", "abs_amount1_exact")
+
+
+@query
+def wide_value_range(spark, folder):
+    """Bounds that no decimal holds: above half of 1e-28, up to 5000e40."""
+    return filters.by_value_range(_wide(spark, folder), Decimal("0.5e-28"), Decimal("5000e40")).select("tx_hash", "amount_usd")
+
+
+@query
+def wide_sums_by_pool(spark, folder):
+    """Sums of 40 digits and of 30 places; the negative ones apart."""
+    signed = _wide(spark, folder).where("block_number % 4 <> 1").withColumn("negative", F.col("block_number") % 4 == 0)
+    return wide_sums(signed, ["pool", "negative"], "amount_usd")
+
+
+# --- cleaning in one pass -----------------------------------------------------------------------
+
+
+def _stored_raw(spark: SparkSession, folder: str, df: DataFrame) -> str:
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    parquet.write_table(df, path)
+    return path
+
+
+@query
+def cleaning_report(spark, folder):
+    """The numbers of the page on a cleaning run of a table without ``recipient``; that column is an error in every row."""
+    raw = _stored_raw(spark, folder, _raw(spark, folder).drop("recipient"))
+    out = f"{shared_folder(spark)}/clean-{uuid.uuid4().hex}"
+    outcome = jobs.clean_job(spark, raw, jobs.CleanPaths(f"{out}/swaps", f"{out}/report"))
+    checked = outcome.checked
+    facts = [
+        ("rows", "total", float(checked.total_records)),
+        ("rows", "valid", float(checked.valid_records)),
+        ("rows", "invalid", float(checked.invalid_records)),
+        ("rows", "duplicates", float(outcome.duplicates)),
+        ("rows", "removed", float(outcome.removed)),
+        *[("missing", name, 1.0) for name in checked.missing],
+        *[(name, what, value) for name, n, low, high, _ in checked.numbers for what, value in (("n", float(n)), ("min", low), ("max", high))],
+        *[(name, "mean", round(mean, 4)) for name, _, _, _, mean in checked.numbers],
+    ]
+    return spark.createDataFrame(facts, "section string, name string, value double")
+
+
+@query
+def cleaned_by_job(spark, folder):
+    """Valid rows with blanks and capitals planted: they are handed on without."""
+    padded = _raw(spark, folder).withColumns(
+        {name: F.concat(F.lit(" "), F.col(name), F.lit("  ")) for name in ("pool", "sender", "tx_hash", "amount_usd", "timestamp")}
+    )
+    out = f"{shared_folder(spark)}/clean-{uuid.uuid4().hex}"
+    paths = jobs.CleanPaths(f"{out}/swaps", f"{out}/report", f"{out}/rejected")
+    jobs.clean_job(spark, _stored_raw(spark, folder, padded), paths, min_usd=5000.0)
+    return parquet.read_swaps(spark, f"{out}/swaps").drop("day")
+
+
+@query
+def strict_cleaning(spark, folder):
+    """Whether strict cleaning raises, for the raw table and for its valid rows, and the rows written either way."""
+    raw = _raw(spark, folder)
+    valid, _ = quality.quarantine(quality.with_swap_errors(raw))
+    parts = None
+    for name, table in (("raw", raw), ("valid", valid)):
+        path = _stored_raw(spark, folder, table)
+        out = f"{shared_folder(spark)}/strict-{uuid.uuid4().hex}"
+        try:
+            jobs.clean_job(spark, path, jobs.CleanPaths(f"{out}/swaps", f"{out}/report"), strict=True)
+            raised = False
+        except jobs.InvalidRows:
+            raised = True
+        part = parquet.read_swaps(spark, f"{out}/swaps").agg(F.count(F.lit(1)).alias("written"))
+        part = part.select(F.lit(name).alias("input"), F.lit(raised).alias("raised"), "written")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+@query
+def required_columns(spark, folder):
+    """Columns that the detectors miss in a table without two of them, and the rows that cannot be used."""
+    narrow = _swaps(spark, folder).drop("sender", "amount_usd")
+    return quality.unusable_rows(narrow, {"sandwich": SANDWICH_INPUT, "wash": WASH_INPUT, "time range": ["pool", "timestamp"]})
+
+
+@query
+def text_order_keys(spark, folder):
+    """Blocks as text, and many swaps at one time: their order is that of the numbers, not of the letters."""
+    swaps = _swaps(spark, folder)
+    shared = F.floor(F.col("timestamp") / 21600) * 21600
+    as_text = swaps.withColumns({"timestamp": shared, "block_number": F.col("block_number").cast("string")})
+    return sandwich_candidates(as_text, SANDWICH)
+
+
+@query
+def dedup_by_number(spark, folder):
+    """Copies whose blocks have different numbers of digits: the smaller number stays."""
+    swaps = _swaps(spark, folder)
+    later = swaps.withColumn("block_number", F.concat(F.lit("1"), F.lpad(F.col("block_number").cast("string"), 9, "0")))
+    both = swaps.withColumn("block_number", F.concat(F.lit("9"), F.lpad(F.col("block_number").cast("string"), 7, "0"))).unionByName(later)
+    return cleaning.dedup_swaps(both).select("tx_hash", "block_number")
+
+
+# --- statistics per pool, several addresses ------------------------------------------------------
+
+
+@query
+def robust_z_all(spark, folder):
+    scored = robust_z(_swaps(spark, folder), ["pool"], "amount_usd")
+    return _rounded(scored.select("tx_hash", "robust_z"), "robust_z")
+
+
+@query
+def robust_z_hot_pool(spark, folder):
+    """A third of all swaps in one pool, and many equal amounts."""
+    swaps = _swaps(spark, folder)
+    hot = F.when(F.col("block_number") % 3 == 0, F.lit("0x" + "9" * 40)).otherwise(F.col("pool"))
+    usd = F.when(F.col("block_number") % 5 == 0, F.lit(5000).cast("decimal(20,2)")).otherwise(F.col("amount_usd"))
+    scored = robust_z(swaps.withColumns({"pool": hot, "amount_usd": usd}), ["pool"], "amount_usd")
+    return _rounded(scored.select("tx_hash", "robust_z"), "robust_z")
+
+
+def _paid_on(spark: SparkSession, folder: str) -> DataFrame:
+    """Swaps of ten addresses a pool, each paying another one, as the number of the event says."""
+    swaps = _swaps(spark, folder)
+    address = lambda n: F.concat(F.lit("0x"), F.lpad(n.cast("string"), 40, "0"))
+    b = F.col("block_number")
+    return swaps.withColumns({"sender": address(b % 10), "recipient": address(F.floor(b / 10) % 10)})
+
+
+LOOPS = collusion.LoopSettings(43200, Decimal("500"), 0.6, 4)
+
+
+@query
+def closed_loops(spark, folder):
+    loops = collusion.closed_loops(_paid_on(spark, folder), LOOPS)
+    return loops.select("pool", "addresses", "txs", "first_timestamp", "last_timestamp", "volume")
+
+
+@query
+def closed_loops_split(spark, folder):
+    """The same with every join key cut into tiles."""
+    small = collusion.LoopSettings(43200, Decimal("500"), 0.6, 4, pairs_per_task=16)
+    return collusion.closed_loops(_paid_on(spark, folder), small).select("pool", "txs")
+
+
+@query
+def closed_loop_patterns(spark, folder):
+    checked = quality.with_pattern_errors(collusion.loop_patterns(_paid_on(spark, folder), LOOPS))
+    broken = F.size(quality.ERRORS) > 0
+    return checked.groupBy("detection_type", "metrics.trade_count", "metrics.unique_addresses").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("n_broken")
+    )
+
+
+@query
+def coordinated_groups(spark, folder):
+    return collusion.coordinated_groups(_swaps(spark, folder), collusion.GroupSettings(3600, Decimal("500"), 4))
