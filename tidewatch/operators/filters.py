@@ -63,7 +63,7 @@ def by_value_range(
 def _compared(df: DataFrame, name: str, bound: Decimal) -> Column:
     """-1, 0 or 1: how a column of numbers lies to a bound. Text that a decimal holds is compared as one, other text digit by digit."""
     value, limit = decimal_of(df, name), F.lit(str(bound)).try_cast(USD)
-    short = F.signum(value - limit).cast("int")
+    short = F.when(value > limit, 1).when(value < limit, -1).when(value == limit, 0)
     if df.schema[name].dataType.typeName() != "string":
         return short
     both = F.struct(wide_key(as_wide(F.col(name))).alias("key"), wide_key(wide_of(bound)).alias("bound"))
