@@ -33,7 +33,7 @@ MAX_EPOCHS = 2
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 SLOTS_PER_GROUP = 1 << 16
-DOCUMENTS_PER_BUCKET = 20_000
+DOCUMENTS_PER_BUCKET = 2_000
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -93,7 +93,8 @@ def schedule(targets: DataFrame, total: float, block_tokens: int = BLOCK_TOKENS)
     earlier = Window.partitionBy("number").orderBy("bunch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("number", "bunch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     local = drawn.withColumn("local", F.row_number().over(Window.partitionBy("number", "bunch").orderBy("slot")) - 1)
-    return local.join(counts, ["number", "bunch"]).select("slot", "number", (F.col("offset") + F.col("local")).alias("rank"))
+    # Stored slots compress to little: by its size on disk a planner would broadcast what is large in memory.
+    return local.hint("merge").join(counts, ["number", "bunch"]).select("slot", "number", (F.col("offset") + F.col("local")).alias("rank"))
 
 
 def _hash() -> Column:
@@ -113,7 +114,7 @@ def placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     totals = totals.select("number", "bucket", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("number", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(tokens).over(within), F.lit(0)))
-    rows = rows.join(totals, ["number", "bucket"]).withColumn("start", F.col("offset") + F.col("before"))
+    rows = rows.hint("merge").join(totals, ["number", "bucket"]).withColumn("start", F.col("offset") + F.col("before"))
     return staged(rows.select("doc_id", "source", "size", "n", "number", "source_size", "target", "start"), "mix-places")
 
 
@@ -153,7 +154,7 @@ class Mix:
 
     def rows(self) -> DataFrame:
         """(slot, number, epoch, start, copy, first, words): word ``first`` and the next ones of a document, in a slot."""
-        return self.slots.join(pieces(self.places, self.block_tokens), ["number", "rank"]).drop("rank")
+        return self.slots.hint("merge").join(pieces(self.places, self.block_tokens), ["number", "rank"]).drop("rank")
 
     def sequence(self) -> DataFrame:
         """The mix itself: slot, place in the slot, source, doc_id, first word and number of words."""
@@ -167,7 +168,7 @@ class Mix:
         # Documents with tokens start at different places of their source's line; empty ones are not in the mix.
         sums = self.rows().groupBy("number", "start", "copy").agg(F.sum("words").alias("taken"))
         copies = self.places.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        full = copies.where("size > 0").join(sums, ["number", "start", "copy"], "left")
+        full = copies.where("size > 0").hint("merge").join(sums, ["number", "start", "copy"], "left")
         columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"]
         empty = copies.where("size <= 0").withColumn("taken", F.lit(None).cast("long"))
         return full.select(*columns).unionByName(empty.select(*columns))
