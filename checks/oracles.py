@@ -350,6 +350,9 @@ ORACLES: dict[str, str] = {
         f"SELECT {TEXT_COLUMNS} FROM swaps WHERE pool = {_POOL} "
         f"AND timestamp BETWEEN {RANGE_END} - 240 * 3600 AND {RANGE_END}",
     ),
+    "scan_lookback_default": _with(
+        SWAPS, f"SELECT {TEXT_COLUMNS} FROM swaps WHERE pool = {_POOL} AND timestamp BETWEEN {RANGE_END} - 24 * 3600 AND {RANGE_END}"
+    ),
     "normalise_raw_swaps": _with(
         SWAPS,
         f"""SELECT * REPLACE (
@@ -431,6 +434,7 @@ FROM raw""",
   CAST(CAST(abs(amount1) AS DECIMAL(38,18)) AS VARCHAR) AS abs_amount1 FROM swaps""",
     ),
     "filter_min_confidence": _with(FOUND, "SELECT * FROM sand WHERE confidence_score >= 0.6e0"),
+    "filter_sure": _with(FOUND, "SELECT * FROM sand WHERE confidence_score >= 0.8e0"),
     "high_confidence": _with(FOUND, "SELECT * FROM sand WHERE confidence_score >= 0.7e0"),
     "cap_outliers_q99": _with(_CAPPED, "SELECT * FROM capped"),
     "epoch_to_timestamp": _with(SWAPS, "SELECT tx_hash, make_timestamp(timestamp * 1000000) AS ts_utc FROM swaps"),
@@ -715,6 +719,12 @@ FROM sand ORDER BY rank LIMIT 20""",
         FOUND,
         """SELECT attacker, victim_tx, make_timestamp(victim_timestamp * 1000000) AS victim_time, confidence_score,
   profit_estimate_usd, front_run_tx, back_run_tx FROM sand WHERE confidence_score >= 0.6e0
+ORDER BY profit_estimate_usd DESC, front_run_tx, victim_tx, back_run_tx LIMIT 5""",
+    ),
+    "top5_sure_cases": _with(
+        FOUND,
+        """SELECT attacker, victim_tx, make_timestamp(victim_timestamp * 1000000) AS victim_time, confidence_score,
+  profit_estimate_usd, front_run_tx, back_run_tx FROM sand WHERE confidence_score >= 0.8e0
 ORDER BY profit_estimate_usd DESC, front_run_tx, victim_tx, back_run_tx LIMIT 5""",
     ),
     "error_sample": _with(

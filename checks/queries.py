@@ -105,6 +105,12 @@ def scan_lookback_hours(spark, folder):
     return filters.lookback_hours(_swaps(spark, folder), _pool(), RANGE_END, 240)
 
 
+@query
+def scan_lookback_default(spark, folder):
+    """The last 24 hours, which is the default."""
+    return filters.lookback_hours(_swaps(spark, folder), _pool(), RANGE_END)
+
+
 @query
 def normalise_raw_swaps(spark, folder):
     text = cleaning.stringify_amounts(_swaps(spark, folder))
@@ -257,6 +263,12 @@ def filter_min_confidence(spark, folder):
     return filters.min_confidence(_found(spark, folder), 0.6)
 
 
+@query
+def filter_sure(spark, folder):
+    """A bound that keeps few rows."""
+    return filters.min_confidence(_found(spark, folder), 0.8)
+
+
 @query
 def high_confidence(spark, folder):
     return filters.high_confidence(_found(spark, folder), 0.7)
@@ -742,6 +754,12 @@ def top5_cases(spark, folder):
     return profiling.top_cases(_found(spark, folder), 5, 0.6)
 
 
+@query
+def top5_sure_cases(spark, folder):
+    """With the bound of the feature."""
+    return profiling.top_cases(_found(spark, folder))
+
+
 @query
 def pools_by_count(spark, folder):
     return profiling.sandwich_by_pool(_found(spark, folder)).select("pool", "candidates")
