@@ -34,8 +34,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import pick, staged
 
-#: Rows whose places differ only in the last 12 bits may share a chunk.
-CHUNK_ROWS = 1 << 12
+#: Rows of a chunk at most: a batch of chunks has to fit into a task's memory.
+CHUNK_ROWS = 1 << 10
+#: Rows of conversations that one task sums up or solves, about 50 microseconds each.
+ROWS_PER_TASK = 100_000
+#: Chunks or conversations that are Python objects at once.
+SLICE = 256
 INSERT, RENAME, DELETE, TRUNCATED = 2, 2, 3, 1
 #: States are numbered as in the text above.
 NOTHING, SYSTEM, USER, ASSISTANT = STATES = range(4)
@@ -234,6 +238,12 @@ def _codes(rows: DataFrame) -> DataFrame:
     return staged(marked.select("at", "conv", "turn", "n", code.alias("code"), "blank", first.alias("first")), "turn-codes")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _chunks(codes: DataFrame) -> DataFrame:
     """One row per chunk: conv, chunk and its rows in order."""
     chunk = F.floor(F.col("at") / CHUNK_ROWS).alias("chunk")
@@ -246,7 +256,7 @@ _LEGAL = {(0, 1), (1, 2), (2, 1)}
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """conv, chunk, costs and orders of its table (16 each, -1 where there is no way), extra cost of repeats, illegal, first and last initial."""
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for conv, chunk, rows in zip(*(batch.column(c).to_pylist() for c in ("conv", "chunk", "rows")), strict=True):
             codes = [r["code"] for r in rows]
@@ -263,7 +273,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk the states at its ends; at the last chunk of a conversation its whole cost and number of illegal neighbours."""
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for conv, parts in zip(batch.column("conv").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             tables = []
@@ -299,7 +309,7 @@ def _lines(state: int, letters: str) -> tuple[list[str], str | None, bool]:
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk its letters and the rows that leave lines: at, roles inserted before, new role, whether it stays, roles inserted after."""
     line = pa.struct([("at", pa.int64()), ("before", pa.list_(pa.string())), ("renamed", pa.string()), ("stays", pa.bool_()), ("after", pa.list_(pa.string()))])
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         names = ("conv", "chunk", "rows", "begin", "end", "last")
         for conv, chunk, rows, begin, end, last in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -350,20 +360,22 @@ class Repair:
     def __init__(self, rows: DataFrame):
         self.rows = placed(rows)
         self.codes = _codes(self.rows)
-        chunks = staged(_chunks(self.codes), "turn-chunks")
+        # Chunks are small in bytes and slow: they are dealt out by the number of their rows.
+        tasks = max(1, -(-self.codes.count() // ROWS_PER_TASK))
+        chunks = staged(_chunks(self.codes), "turn-chunks").repartition(tasks, "conv", "chunk")
         tables = "conv string, chunk long, costs array<long>, orders array<int>, extra long, illegal long, head int, tail int"
         parts = F.sort_array(F.collect_list(F.struct("chunk", "costs", "orders", "extra", "illegal", "head", "tail")))
         joined = chunks.mapInArrow(_summaries, tables).groupBy("conv").agg(parts.alias("parts"))
         borders = "conv string, chunk long, begin int, end int, last boolean, cost long, illegal long"
         self.borders = staged(joined.mapInArrow(_borders, borders), "turn-borders")
-        ready = chunks.join(self.borders, ["conv", "chunk"]).select("conv", "chunk", "rows", "begin", "end", "last")
+        ready = chunks.hint("merge").join(self.borders, ["conv", "chunk"]).select("conv", "chunk", "rows", "begin", "end", "last")
         lines = "array<struct<at: long, before: array<string>, renamed: string, stays: boolean, after: array<string>>>"
         self.solved = staged(ready.mapInArrow(_solved, f"conv string, chunk long, letters string, lines {lines}"), "turn-edits")
 
     def turns(self) -> DataFrame:
         """The repaired turns: conv, at, part (0 inserted before row ``at``, 1 the row, 2 inserted after), place, role, text."""
         edits = self.solved.select(F.explode("lines").alias("e")).select("e.*")
-        rows = self.rows.select("at", "conv", "role", "text").join(edits, "at")
+        rows = self.rows.select("at", "conv", "role", "text").hint("merge").join(edits, "at")
 
         def inserted(column: str, part: int) -> Column:
             return F.transform(column, lambda r, i: F.struct(F.lit(part).alias("part"), i.alias("place"), r.alias("role"), F.lit("").alias("text")))
