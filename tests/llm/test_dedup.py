@@ -196,3 +196,15 @@ def test_best_fit_is_the_tightest():
         bins[got]["room"] -= length
         bins[got]["s"].add(s)
         bins[got]["c"].add(c)
+
+
+def test_line_dedup_sorts_by_position_in_one_exchange(spark):
+    """First occurrences come from a window over the sorted range partitions: the positions are shuffled once."""
+    positions = spark.createDataFrame([(1, 2, d, p) for d in range(20) for p in (3, 1, 2)], "h1 long, h2 long, owner long, pos int")
+    first = line_dedup.first_occurrences(positions)
+    assert {(r.owner, r.pos) for r in first.collect()} == {(d, 1) for d in range(20)}
+    plan = first._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
+    assert "pos#" in "".join(line for line in plan.splitlines() if "Sort [" in line)
+    common = {tuple(r) for r in line_dedup.common_lines(positions, 10).collect()}
+    assert common == {(1, 2, 20, 1)}

@@ -2,19 +2,19 @@
 
 A staged table holds the line keys of each document as 128-bit hashes. Hash, document and position are
 range-partitioned and sorted, so that a line that a third of all documents hold is split over
-many partitions. Each partition streams its first occurrences and reduces them to one count per hash. Hashes of enough
+many partitions. Each partition streams its first occurrences, one per hash and document, and reduces them to one count per hash. Hashes of enough
 documents meet the positions again, and each document gets back a keep bitmap, run-length coded,
 instead of text. DataFrame functions only.
 
 Defined results: a null or empty text is one empty line and is never dropped; an empty key is never
 common. Rows equal in id and text are one document and all are returned; rows that share an id but
 not the text count as one document, each with its own result. A null id counts as one document of
-its own per text. Extra columns of the input are ignored by ``line_report`` and kept by ``drop_common_lines``.
+its own per text. Extra columns of the input are ignored by ``line_report`` and kept by ``drop_common_lines``. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import BLANKS, ascii_lower, pick, row_key, staged
@@ -36,13 +36,22 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key("doc_id", "text"), owner.alias("owner"), hashes.alias("hashes"))
 
 
+def first_occurrences(positions: DataFrame) -> DataFrame:
+    """(h1, h2, owner, pos): the first position of each line in each document that holds it.
+
+    Rows are range-partitioned by hash and document and sorted by position within them; the window takes that partitioning as it
+    is and streams through the sorted rows.
+    """
+    dealt = positions.repartitionByRange("h1", "h2", "owner").sortWithinPartitions("h1", "h2", "owner", "pos")
+    in_document = Window.partitionBy("h1", "h2", "owner").orderBy("pos")
+    return dealt.withColumn("n", F.row_number().over(in_document)).where("n = 1").drop("n")
+
+
 def common_lines(positions: DataFrame, min_documents: int) -> DataFrame:
-    """Hashes (h1, h2) of the keys that at least ``min_documents`` documents hold."""
-    dealt = positions.repartitionByRange("h1", "h2", "owner", "pos").sortWithinPartitions("h1", "h2", "owner", "pos")
-    # Sorted, so the aggregate below keeps a run of equal (hash, document) together and passes on its first occurrence.
-    first = dealt.groupBy("h1", "h2", "owner").agg(F.min("pos").alias("first_pos"))
-    counts = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_documents"))
-    return counts.where(F.col("n_documents") >= min_documents).select("h1", "h2")
+    """(h1, h2, n_documents, first_pos) of the keys that at least ``min_documents`` documents hold."""
+    first = first_occurrences(positions)
+    counts = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_documents"), F.min("pos").alias("first_pos"))
+    return counts.where(F.col("n_documents") >= min_documents)
 
 
 def keep_bitmaps(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -54,7 +63,7 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
     rows = keyed.select("k1", "k2", "owner", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
     rows = rows.select("k1", "k2", "owner", "pos", "h.h1", "h.h2")
     common = staged(common_lines(rows.select("h1", "h2", "owner", "pos"), min_documents), "common-lines")
-    hits = rows.join(common, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("d"))
+    hits = rows.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("d"))
     last = F.size("d") - 1
     starts = F.filter("d", lambda x, i: (i == 0) | (F.get(F.col("d"), i - 1) != x - 1))
     ends = F.filter("d", lambda x, i: (i == last) | (F.get(F.col("d"), i + 1) != x + 1))
@@ -64,7 +73,14 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
 def drop_common_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_documents: int = MIN_DOCUMENTS
 ) -> DataFrame:
-    """``docs`` with all columns, plus a struct ``line_dedup``: n_lines, n_dropped, kept (text)."""
+    """``docs`` with all columns, plus a struct ``line_dedup``, which must not be the name of one: n_lines, n_dropped, kept (text)."""
+    return deduped_rows(docs, id_column, text_column, min_documents).select("row.*", "line_dedup")
+
+
+def deduped_rows(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_documents: int = MIN_DOCUMENTS
+) -> DataFrame:
+    """(row, line_dedup): each row of ``docs`` as a struct, whatever its columns are called, and its result."""
     narrow = pick(docs, doc_id=id_column, text=text_column)
     bitmaps = keep_bitmaps(narrow, min_documents)
     k1, k2 = row_key("doc_id", "text")
@@ -91,7 +107,7 @@ def drop_common_lines(
         F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
-    return out.select("row", result.alias("line_dedup")).select("row.*", "line_dedup")
+    return out.select("row", result.alias("line_dedup"))
 
 
 def line_report(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
