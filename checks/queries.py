@@ -427,7 +427,7 @@ def _hot(spark: SparkSession, folder: str) -> DataFrame:
     return swaps.withColumns({"pool": F.lit("0x" + "9" * 40), "sender": router})
 
 
-HOT = SandwichSettings(7200, 5000.0, 0.5, pairs_per_task=400)
+HOT = SandwichSettings(7200, 5000.0, 0.5, pairs_per_task=10_000)
 
 
 @query
