@@ -2,14 +2,14 @@
 
 Text is cut into windows of ``WINDOW`` bytes. Filters of several widths slide over the embedded bytes of a window; each filter
 keeps its largest value in the window (max pooling), and a softmax over these gives the languages. A text's score
-is the mean of the probabilities of its windows, weighted by their letters. Trained here in numpy on at most
+is the mean of the probabilities of its windows, weighted by their letters. Trained here in numpy on about
 ``SAMPLE_PER_LANGUAGE`` labelled texts per language, one window each, chosen by hash of the id. In the scan the
 product of embedding and filter is looked up per pair of bytes, which gives the same sums as the
 convolution.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text if there is nothing to learn
 from. Rows are scored one by one, so repeated rows and null ids are no case of their own. Extra columns are kept by
-``with_language`` and ignored by ``language_report``.
+``with_language`` and ignored by ``language_report``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import pick
@@ -31,8 +31,8 @@ WIDTHS = (2, 4)
 FILTERS = 24
 EMBEDDING = 12
 SAMPLE_PER_LANGUAGE = 2000
-#: Most languages a model learns; the most frequent labels win.
-MOST_LANGUAGES = 256
+#: Labelled rows that a network is fitted on; with many languages each gives fewer, but one at least.
+SAMPLE_ROWS = 512_000
 EPOCHS = 4
 
 
@@ -198,15 +198,28 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
+def _sampled(usable: DataFrame, sample_per_language: int) -> DataFrame:
+    """(id, l): of each language about ``sample_per_language`` ids, those with the smallest hashes; fewer if there are many languages.
+
+    The share of ids to take follows from their approximate number per language, so nothing is sorted and no task holds a language.
+    """
+    filled = usable.where("text IS NOT NULL AND text <> ''")
+    counts = filled.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n_ids"))
+    languages = counts.count()
+    each = max(1, min(sample_per_language, SAMPLE_ROWS // max(1, languages)))
+    share = F.lit(float(each)) / F.col("n_ids")
+    limit = F.when(share >= 1.0, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long"))
+    limits = counts.select("lang", limit.alias("limit"))
+    ids = filled.select("doc_id", "lang", F.xxhash64("doc_id").alias("o"))
+    kept = ids.join(F.broadcast(limits) if languages <= SAMPLE_ROWS else limits, "lang").where("o <= limit")
+    return kept.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+
+
 def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     """A network from labelled rows (doc_id, text, lang) outside the held-out fold; None if there are none."""
     usable = docs.where("lang IS NOT NULL").where(F.coalesce(fold() != 2, F.lit(True)))
-    ranked = usable.where("text IS NOT NULL AND text <> ''").select("doc_id", "lang", F.xxhash64("doc_id").alias("o"))
-    by_language = Window.partitionBy("lang").orderBy("o", "doc_id")
-    chosen = ranked.withColumn("r", F.row_number().over(by_language)).where(F.col("r") <= sample_per_language)
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    chosen = chosen.join(F.broadcast(frequent.select("lang")), "lang").select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
-    # At most sample_per_language * MOST_LANGUAGES ids; one stretch of each text, placed by hash, goes to the driver.
+    chosen = _sampled(usable, sample_per_language)
+    # About SAMPLE_ROWS ids at most, or one for each language; one stretch of each text, placed by hash, goes to the driver.
     stretch = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, 3), greatest(char_length(text) - {WINDOW}, 1)) as int), {WINDOW})")
     rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
     rows = rows.groupBy("doc_id", "lang").agg(F.min(stretch).alias("t")).where("t <> ''").orderBy("lang", "doc_id").collect()
@@ -215,17 +228,23 @@ def learn(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Ne
     return train([r.t for r in rows], [r.lang for r in rows])
 
 
-def with_language(
+def scored_rows(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", network: Network | None = None
 ) -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``lang_score``. Labels serve for learning only."""
+    """(kept, lang_pred, lang_score): each row of ``docs`` as a struct, whatever its columns are called."""
     if network is None:
         network = learn(pick(docs, doc_id=id_column, text=text_column, lang=lang_column))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(f"`{text_column}`").alias("text"), others.alias("kept"))
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, lang_score double"
-    scored = rows.mapInArrow(_scorer(network), schema)
-    return scored.select("kept.*", "lang_pred", "lang_score")
+    return rows.mapInArrow(_scorer(network), schema)
+
+
+def with_language(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", network: Network | None = None
+) -> DataFrame:
+    """``docs`` plus ``lang_pred`` and ``lang_score``, which must not be names of its columns. Labels serve for learning only."""
+    return scored_rows(docs, id_column, text_column, lang_column, network).select("kept.*", "lang_pred", "lang_score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
