@@ -76,3 +76,59 @@ def test_language_of_held_out_texts(spark):
 def test_numbered_queries():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, lang_score int, line_dedup string, row string, kept string, spans string"
+
+
+def clashing(spark, rows):
+    full = [(i, t, "en", s, len(t or ""), "p", 1, "d", "r", "k", "s") for i, t, s in rows]
+    return spark.createDataFrame(full, CLASHING)
+
+
+def test_stages_on_clashing_names_repeated_rows_and_empty_tables(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = [(r.doc_id, r.text, r.source) for r in table.limit(40).collect()]
+    rows = base + base[:10] + [(None, None, None), (None, base[0][1], None), (7001, "", "a"), (7002, None, "a")]
+    docs = clashing(spark, rows)
+    columns, counts = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        counts.append(docs.count())
+        assert docs.where("lang_pred <> 'p' OR lang_score <> 1 OR line_dedup <> 'd' OR row <> 'r' OR kept <> 'k' OR spans <> 's'").count() == 0
+    # Nothing without a letter goes on, and rows that repeat are rows of their own.
+    assert counts[0] >= 50 - 3 and counts[1] == counts[0]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    docs = clashing(spark, rows).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+
+
+def test_a_run_leaves_only_its_result(spark):
+    import os
+
+    from tidewatch.llm import tables
+    from tidewatch.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    # Checkpoints bear the names of Spark's RDDs and go with them.
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if not n.startswith("rdd-")}
+    assert left == {"best_fit_packing"} and out.count() > 100 and not tables._open
+
+
+def test_every_language_is_learned(spark):
+    """300 labels: each gives fewer rows, none is left out of the sample; repeated rows and very long texts are no case of their own."""
+    rows = [(i, f"text number {i} of label", f"l{i % 300}") for i in range(3000)] + [(5, "again", "l5")] * 50 + [(9999, "word " * 60000, "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = language_id._sampled(docs, 4)
+    per = {r["l"]: r["n"] for r in chosen.groupBy("l").agg({"id": "count"}).withColumnRenamed("count(id)", "n").collect()}
+    assert len(per) > 280 and max(per.values()) <= 12
+    assert language_id._sampled(docs, 2000).select("l").distinct().count() == 300
+    few = docs.where("lang in ('l1', 'l2')").replace({"l1": "en", "l2": "de"}, subset=["lang"])
+    report = {(r.doc_id, r.lang_pred) for r in language_id.language_report(few.unionByName(few)).collect()}
+    assert {i for i, _ in report} == {r.doc_id for r in few.collect()} and len(report) == len({i for i, _ in report})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.tables import release
 from tidewatch.session import cut
 
 
@@ -32,6 +33,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = _state(edges)
+        # The rounds before are cut off, and so are their shuffles.
+        release(edges.sparkSession)
         if after == before:
             break
         before = after

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.prefix_tree import PrefixTree
-from tidewatch.llm.tables import pick, staged
+from tidewatch.llm.tables import pick, release, staged
 from tidewatch.llm.textops import LOWER, chunks, flat, mix, word_bounds, word_hashes
 from tidewatch.session import cut
 
@@ -360,6 +360,7 @@ def similarity_components(
     regions = levelled.select("item", "region").join(_small(chosen.select("item")), "item")
     lists = _prefix_lists(regions.select("item", F.explode("region").alias("h")), shared, chosen)
     lists = staged(lists.select("node", "center").distinct(), "lists")
+    release(docs.sparkSession)
 
     family, small = _families(lists.select(F.col("center").alias("a"), F.col("node").alias("b")), block)
     groups = _blocks(small.select(F.col("family").alias("g1"), "k", "node", F.col("node").alias("component")), block)
@@ -369,6 +370,7 @@ def similarity_components(
         sets = staged(_sets(docs, nodes.join(large, "node", "left_semi")), "sets")
         links = links.unionByName(_links_of_large(sets, block))
     links = cut(links)
+    release(docs.sparkSession)
 
     names = nodes.select(F.col("node").alias("a"), F.xxhash64("d1", "d2").alias("name"))
     thin = _thin_links(docs, described)
