@@ -8,7 +8,8 @@ the first bin that is large enough and moves on to its successors until one is c
 compatible bin. If none is, a new bin is opened.
 
 Defined results: a null or empty text has no tokens and gives one row of length 0 without a bin; a null source or cluster
-conflicts with nothing; rows that repeat are pieces of their own. Ties go by hash of id and text, then id.
+conflicts with nothing; rows that repeat are pieces of their own. Ties go by hash of id and text, then id. An empty table gives
+no rows. Columns beside the named ones are not read, whatever their names.
 """
 
 from __future__ import annotations

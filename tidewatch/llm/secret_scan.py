@@ -9,7 +9,7 @@ runs of mixed letters and digits that no pattern names and that look live. DataF
 
 Defined results: null text counts as empty; a null owner or repository is one of its own; positions are code points,
 end exclusive. Rows equal in id and text are one document and all are returned. Extra columns are ignored by
-``secret_report`` and kept by ``redact_secrets``.
+``secret_report`` and kept by ``redact_secrets``. An empty table gives no rows.
 """
 
 from __future__ import annotations
