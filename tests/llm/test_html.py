@@ -94,3 +94,33 @@ def test_large_lists_match_as_small_ones_do(monkeypatch):
             assert size == len(pairs)
             found.append([(id(x), id(y)) for x, y in pairs])
         assert found[0] == found[1]
+
+
+def test_names_do_not_drop_stories():
+    story = "".join(f"<p>{sentence()}</p>" for _ in range(6))
+    kept = {
+        "compound": f"<div class='entry-content has-share-buttons'>{story}</div>",
+        "page": f"<div id=main-menu-page>{story}</div>",
+        "layout": f"<div class=sidebar>{story}</div>",
+        "paragraph": f"<div><p class='notice-of-motion'>The motion passed.</p>{story}</div>",
+    }
+    dropped = "<div class='cookie-notice'>We use cookies.</div><div class='site-footer'>About</div><ul class=menu><li><a href=x>All of it</a></ul>"
+    for name, source in kept.items():
+        page = html_text.parse(f"<body>{dropped}{source}<div class=comments><p>{sentence(40)}</p></div></body>")
+        text = html_text.article_text(page, set(), None)
+        wanted = html_text.parse(source).text
+        assert text == wanted, name
+
+
+def test_deep_pages_are_matched_at_every_level():
+    """A constant promo paragraph is template however deep the story lies; pages of very different depth match too."""
+    for depth in (10, 58, 62, 70, 900):
+        made = [
+            f"<title>{i}</title>" + "<div>" * depth + f"<p>{sentence()}</p>{'<ul><li>x</ul>' * (i % 3)}<p>All articles are free.</p>" + "</div>" * depth for i in range(8)
+        ]
+        trees = [html_text.parse(m) for m in made]
+        template, slots = html_text.template_of(trees)
+        for tree, fixed, slot in zip(trees, template, slots, strict=True):
+            assert "free" not in html_text.article_text(tree, fixed, slot), depth
+    a, b = (html_text.parse("<div>" * n + "<p>x</p>" + "<i>y</i>" * k) for n, k in ((20000, 1), (15000, 2)))
+    assert html_text.match_trees(a, b)[0] == 15001

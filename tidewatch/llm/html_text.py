@@ -3,14 +3,15 @@
 Pages of one host are parsed to DOM trees, and in groups of ``GROUP`` pages at most each is aligned with a pattern page by simple tree
 matching. Nodes whose text is the same on most pages of the group are the host's template; the slots that vary are content.
 The article is the outermost ``article`` or ``main`` element, or, where a site has neither, the varying slot that holds most of the text over
-the group. In it, parts that are never article text by their tag, role or class (menus, forms, adverts,
-comments and the like) are left out, as are template nodes.
+the group. In it, parts that are never article text by their tag, role or name (menus, forms, adverts,
+comments and the like) are left out, as are template nodes. A name counts if all its words say so, and, but for comments, only where the part
+has no more than half of the page's text or is mostly links.
 
 A host may have a third of all pages: its pages are dealt to as many groups as its number of pages needs. Texts that are the same
 on copies of one page are no template: only pages with different titles count.
 
 Defined results: a null or empty page has an empty text; text without markup is one block. A null address is a host of its own.
-Repeated rows are pages of their own. Extra columns are ignored.
+Repeated rows are pages of their own. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -45,6 +47,13 @@ DROPPED_NAMES = set(
     " breadcrumbs footer masthead notice notices cookie cookies consent gdpr comment comments respond replies discussion disqus"
     " newsletter subscribe subscription signup login related recommended share sharing social popup modal overlay widget toolbar pagination pager hidden".split()
 )
+#: Words that may stand beside these in a name without changing what it says.
+NEUTRAL = set(
+    "site page container wrapper wrap inner outer box block area list section bar panel left right top bottom buttons button links link item items"
+    " row col column module unit slot zone holder form icons thread small large".split()
+)
+#: Names of readers' comments, which may be longer than the article.
+COMMENTS = set("comment comments respond replies discussion disqus".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
@@ -61,12 +70,13 @@ _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "text", "size", "inner", "label", "shape")
+    __slots__ = ("tag", "attributes", "children", "text", "size", "inner", "label", "shape", "height", "linked")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
         self.text, self.size = "", 1
         self.inner, self.label, self.shape = [], (tag, attributes.get("class", "")), 0
+        self.height, self.linked = 0, 0
 
 
 def parse(source: str) -> Node:
@@ -125,7 +135,7 @@ def _close_within(stack: list[Node], names: set[str], scope: set[str]) -> None:
 
 
 def _measure(root: Node) -> None:
-    """Text, number of nodes and shape of every subtree, without recursion: pages may be nested deeply."""
+    """Text, characters of links, number of nodes, height and shape of every subtree, without recursion: pages may be nested deeply."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -143,6 +153,8 @@ def _measure(root: Node) -> None:
                 node.size += c.size
         node.text = _BLANK.sub(" ", "".join(parts)).strip(" ")
         node.inner = [c for c in node.children if isinstance(c, Node)]
+        node.height = 1 + max((c.height for c in node.inner), default=0)
+        node.linked = len(node.text) if node.tag == "a" else sum(c.linked for c in node.inner)
         node.shape = hash((node.label, *[c.shape for c in node.inner]))
 
 
@@ -152,33 +164,36 @@ def elements(node: Node) -> list[Node]:
 
 #: Children are aligned in numpy from so many pairs on, with the same result.
 MANY_PAIRS = 1000
-MATCHED_DEPTH = 60
+#: Python calls that a level of the trees may take.
+CALLS = 6
 
 
 def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: size of the largest order-preserving match of two trees, and its pairs."""
-    sizes: dict[tuple[int, int, int], int] = {}
-    size = _match_size(a, b, 0, sizes)
-    pairs, todo = [], [(a, b, 0)] if size else []
+    # Calls of Python functions by each other take no stack but the heap's, so trees may be as deep as they like.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + CALLS * min(a.height, b.height)))
+    sizes: dict[tuple[int, int], int] = {}
+    size = _match_size(a, b, sizes)
+    pairs, todo = [], [(a, b)] if size else []
     while todo:
-        x, y, depth = todo.pop()
+        x, y = todo.pop()
         pairs.append((x, y))
         if x.shape == y.shape:
-            todo += [(c, d, depth + 1) for c, d in zip(x.inner, y.inner, strict=True)]
-        elif depth <= MATCHED_DEPTH and x.inner and y.inner:
-            todo += [(c, d, depth + 1) for c, d in _aligned(x.inner, y.inner, depth, sizes)]
+            todo += zip(x.inner, y.inner, strict=True)
+        elif x.inner and y.inner:
+            todo += _aligned(x.inner, y.inner, sizes)
     return size, pairs
 
 
-def _match_size(a: Node, b: Node, depth: int, sizes: dict) -> int:
+def _match_size(a: Node, b: Node, sizes: dict) -> int:
     if a.label != b.label:
         return 0
     # Trees of one shape match in full.
     if a.shape == b.shape:
         return a.size
-    if not a.inner or not b.inner or depth > MATCHED_DEPTH:
+    if not a.inner or not b.inner:
         return 1
-    key = (a.shape, b.shape, depth)
+    key = (a.shape, b.shape)
     if key not in sizes:
         # Children of one shape at either end match each other in some best match.
         first, last = 0, _same_end(a.inner, b.inner)
@@ -186,7 +201,7 @@ def _match_size(a: Node, b: Node, depth: int, sizes: dict) -> int:
         while first < min(n, m) and a.inner[first].shape == b.inner[first].shape:
             first += 1
         ends = sum(c.size for c in a.inner[:first]) + sum(c.size for c in a.inner[n:])
-        sizes[key] = 1 + ends + _best(a.inner[first:n], b.inner[first:m], depth, sizes)
+        sizes[key] = 1 + ends + _best(a.inner[first:n], b.inner[first:m], sizes)
     return sizes[key]
 
 
@@ -197,18 +212,18 @@ def _same_end(a: list[Node], b: list[Node]) -> int:
     return k
 
 
-def _best(a: list[Node], b: list[Node], depth: int, sizes: dict) -> int:
+def _best(a: list[Node], b: list[Node], sizes: dict) -> int:
     """Best sum of matches of two lists of children."""
     if len(a) * len(b) < MANY_PAIRS:
-        return _align(a, b, depth, sizes)[-1][-1]
-    gain = _gains(a, b, depth, sizes)
+        return _align(a, b, sizes)[-1][-1]
+    gain = _gains(a, b, sizes)
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
         row = _next_row(row, gain(x))
     return int(row[-1])
 
 
-def _aligned(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[tuple[Node, Node]]:
+def _aligned(a: list[Node], b: list[Node], sizes: dict) -> list[tuple[Node, Node]]:
     """Pairs of a best match of two lists of children, from the end; of equal matches the one furthest to the end."""
     last = _same_end(a, b)
     pairs = list(zip(a[::-1][:last], b[::-1][:last], strict=True))
@@ -219,7 +234,7 @@ def _aligned(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[tupl
     large = i * j >= MANY_PAIRS
     step = math.isqrt(i) + 1 if large else i + 1
     if large:
-        gain = _gains(a[:i], b[:j], depth, sizes)
+        gain = _gains(a[:i], b[:j], sizes)
         held, row = [], np.zeros(j + 1, np.int64)
         for k in range(i):
             if k % step == 0:
@@ -232,10 +247,10 @@ def _aligned(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[tupl
             for x in a[low:i]:
                 best.append(_next_row(best[-1], gain(x)))
         else:
-            best = _align(a[:i], b[:j], depth, sizes)
+            best = _align(a[:i], b[:j], sizes)
         while i > low and j:
             c, d, above, row = a[i - 1], b[j - 1], best[i - 1 - low], best[i - low]
-            if c.label == d.label and row[j] == above[j - 1] + _match_size(c, d, depth + 1, sizes):
+            if c.label == d.label and row[j] == above[j - 1] + _match_size(c, d, sizes):
                 pairs.append((c, d))
                 i, j = i - 1, j - 1
             elif row[j] == above[j]:
@@ -245,7 +260,7 @@ def _aligned(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[tupl
     return pairs
 
 
-def _gains(a: list[Node], b: list[Node], depth: int, sizes: dict):
+def _gains(a: list[Node], b: list[Node], sizes: dict):
     """A function from a node of ``a`` to the sizes of its matches with all of ``b``; nodes of one shape have the same."""
     number = {s: k for k, s in enumerate(dict.fromkeys(y.shape for y in b))}
     kinds = list({y.shape: y for y in b}.values())
@@ -254,7 +269,7 @@ def _gains(a: list[Node], b: list[Node], depth: int, sizes: dict):
 
     def gain(x: Node) -> np.ndarray:
         if x.shape not in made:
-            made[x.shape] = np.array([_match_size(x, y, depth + 1, sizes) for y in kinds], np.int64)
+            made[x.shape] = np.array([_match_size(x, y, sizes) for y in kinds], np.int64)
         return made[x.shape][kind_of]
 
     return gain
@@ -266,13 +281,13 @@ def _next_row(above: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(row, out=row)
 
 
-def _align(a: list[Node], b: list[Node], depth: int, sizes: dict) -> list[list[int]]:
+def _align(a: list[Node], b: list[Node], sizes: dict) -> list[list[int]]:
     """Best sums of matches of the first i nodes of ``a`` and the first j of ``b``."""
     best = [[0] * (len(b) + 1)]
     for x in a:
         above, row = best[-1], [0]
         for j, y in enumerate(b):
-            across = above[j] + _match_size(x, y, depth + 1, sizes) if x.label == y.label else 0
+            across = above[j] + _match_size(x, y, sizes) if x.label == y.label else 0
             row.append(max(above[j + 1], row[j], across))
         best.append(row)
     return best
@@ -294,7 +309,18 @@ def _walk(node: Node):
         todo += reversed(elements(here))
 
 
-def _unwanted(node: Node, in_article: bool) -> bool:
+def _named(node: Node) -> list[str]:
+    """Words of names that say a part is no article; a name of other words as well says something else."""
+    found = []
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if words and all(w in DROPPED_NAMES or w in NEUTRAL or w == "header" for w in words):
+            found += [w for w in words if w in DROPPED_NAMES or w == "header"]
+    return found
+
+
+def _unwanted(node: Node, in_article: bool, whole: int) -> bool:
+    """Whether a part holds no article text, by its element, or by its name unless it has most of the page's ``whole`` text."""
     a = node.attributes
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
@@ -302,8 +328,11 @@ def _unwanted(node: Node, in_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in DROPPED_ROLES:
         return True
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(w in DROPPED_NAMES or w == "header" and not in_article for w in re.findall(r"[a-z]+", named.lower()))
+    names = _named(node)
+    if not names or names == ["header"] and in_article:
+        return False
+    length = len(node.text)
+    return 2 * length <= whole or 2 * node.linked >= length or any(w in COMMENTS for w in names)
 
 
 def template_of(pages: list[Node]) -> tuple[list[set[int]], list[Node | None]]:
@@ -327,11 +356,12 @@ def template_of(pages: list[Node]) -> tuple[list[set[int]], list[Node | None]]:
     template = [{id(y) for x, y in pairs if constant.get(id(x)) == y.text} for pairs in aligned]
     # Direct text of the wanted parts, summed over pages: the slot with most of it is where articles stand.
     weight: Counter = Counter()
-    for pairs, fixed in zip(aligned, template, strict=True):
+    for page, pairs, fixed in zip(pages, aligned, template, strict=True):
+        length = len(page.text)
         for x, y in pairs:
             if id(y) not in fixed and y.tag not in INLINE and y.tag not in ("#page", "html", "body"):
                 own = sum(len(c.text) for c in elements(y) if c.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol"))
-                weight[id(x)] += 0 if _unwanted(y, False) else own
+                weight[id(x)] += 0 if _unwanted(y, False, length) else own
     best = max(weight, key=weight.get) if weight and max(weight.values()) else None
     slots = [next((y for x, y in pairs if id(x) == best), None) for pairs in aligned]
     return template, slots
@@ -345,7 +375,7 @@ def _article(page: Node, slot: Node | None) -> Node:
             node = todo.pop()
             if node.tag == tag or node.attributes.get("role") == tag:
                 found.append(node)
-            elif not _unwanted(node, False) or node is page:
+            elif node is page or not _unwanted(node, False, len(page.text)):
                 todo += elements(node)
         if found:
             return max(reversed(found), key=lambda n: len(n.text))
@@ -356,7 +386,7 @@ def _article(page: Node, slot: Node | None) -> Node:
 
 def article_text(page: Node, template: set[int], slot: Node | None) -> str:
     root = _article(page, slot)
-    in_article = root.tag in ("article", "main")
+    in_article, whole = root.tag in ("article", "main"), len(page.text)
     blocks, current = [], []
 
     def flush() -> None:
@@ -374,7 +404,7 @@ def article_text(page: Node, template: set[int], slot: Node | None) -> str:
         elif isinstance(item, str):
             if not headings_only:
                 current.append(item)
-        elif id(item) in template or _unwanted(item, in_article):
+        elif id(item) in template or _unwanted(item, in_article, whole):
             flush()
         else:
             heading = re.fullmatch("h[1-6]", item.tag) is not None
