@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -80,3 +81,26 @@ def test_a_long_word_beside_many_short_ones(monkeypatch):
     to_byte = bpe.byte_names()
     joined = b"".join(b"".join(bytes(to_byte[c] for c in model.names[t].removesuffix("</w>")) for t in ids.tolist()) for ids in got)
     assert joined == b"".join(words)
+
+
+def test_every_code_point():
+    """Alone, after a letter, after a sign and doubled: classes, lower case and composition are those of the library."""
+    library = tokenizers.Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    encoder = bpe.Encoder(bpe.load(PATH))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(f"a{c} !{c} {c}{c}" for c in map(chr, points[i : i + 4096])) for i in range(0, len(points), 4096)]
+    _, ids, decoded = encoder.encode(pa.array(texts))
+    for text, mine, read in zip(texts, ids.to_pylist(), decoded.to_pylist(), strict=True):
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert mine == " ".join(map(str, wanted)), hex(ord(text[1]))
+        assert read == library.decode(wanted, skip_special_tokens=False)
+
+
+def test_new_letters_beside_special_tokens():
+    library = tokenizers.Tokenizer.from_file(PATH)
+    encoder = bpe.Encoder(bpe.load(PATH))
+    text = "\u1c89A<|endoftext|>\ua7cbe\u0301 \U00010d50x ΑΣ " * 3
+    _, ids, _ = encoder.encode(pa.array([text, None, "plain"]))
+    assert ids[0].as_py() == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))

@@ -10,13 +10,14 @@ The vocabulary file (a parameter) describes a tokenizer whose words end in ``</w
 contractions, runs of letters, single digits and runs of the rest. Decoding lists the tokens, as the file names no decoder.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text. Rows are encoded one by one, so repeated rows and null
-ids are no case of their own. The strings of special tokens in a text are special tokens. Extra columns are ignored.
+ids are no case of their own. The strings of special tokens in a text are special tokens. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -60,6 +61,7 @@ class Model:
     longest: np.ndarray  # longest token that ends in a state
     shorter: np.ndarray  # the next shorter token that is a suffix of a token
     classes: np.ndarray
+    unknown: np.ndarray  # code points that Python's tables do not know
 
 
 def byte_names() -> dict[str, int]:
@@ -69,11 +71,36 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def character_classes() -> np.ndarray:
+def character_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every code point, and which code points are unknown to Python's tables.
+
+    The tokenizers library may follow a later Unicode version than Python, so it is asked about those: a letter joins a
+    letter before it, a sign joins a sign, a digit neither.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
     kinds = {"L": LETTER, "N": DIGIT}
-    classes = np.array([kinds.get(unicodedata.category(chr(c))[0], REST) for c in range(0x110000)], np.uint8)
+    category = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    classes = np.array([kinds.get(k[0], REST) for k in category], np.uint8)
+    unknown = np.array([k == "Cn" for k in category])
+    runs = pre_tokenizers.Split(Regex(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), behavior="removed", invert=True)
+
+    def joined(sign: str, points: np.ndarray) -> np.ndarray:
+        """Which code points stand in one piece with ``sign`` before them."""
+        pieces = runs.pre_tokenize_str("\n".join(sign + chr(c) for c in points.tolist()))
+        # Each line has three characters with its end.
+        both = np.zeros(len(points), bool)
+        for _, (start, end) in pieces:
+            both[start // 3] |= end - start == 2
+        return both
+
+    points = np.flatnonzero(unknown)
+    letters = joined("a", points)
+    signs = joined("!", points[~letters])
+    classes[points[letters]] = LETTER
+    classes[points[~letters][~signs]] = DIGIT
     classes[WHITE_SPACE] = SPACE
-    return classes
+    return classes, unknown
 
 
 def load(path: str) -> Model:
@@ -102,7 +129,7 @@ def load(path: str) -> Model:
     pairs.sort()
     model = Model(
         names, special, size, rank, left, right, np.array([k for k, _ in pairs]), np.array([r for _, r in pairs]),
-        *(np.zeros(0, np.int64) for _ in range(5)), character_classes(),
+        *(np.zeros(0, np.int64) for _ in range(5)), *character_classes(),
     )
     # A token that its own text is not encoded to never occurs; every other one is the merge of two that fit.
     merged = np.flatnonzero(rank >= 0)
@@ -250,16 +277,40 @@ def _encode_block(model: Model, words: list[bytes], sizes: np.ndarray) -> list[n
 
 
 def _normal(text: str, special: list[str]) -> str:
+    text = _marked(text, special)
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _marked(text: str, special: list[str]) -> str:
     for i, name in enumerate(special):
         # Lone surrogates cannot be in a text; one stands for each special token.
         if name in text:
             text = text.replace(name, chr(0xD800 + i))
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return text
+
+
+def _normal_by_library(text: str, special: list[str]) -> str:
+    """The same for a text with characters that are newer than Python's tables."""
+    from tokenizers import normalizers
+
+    rule = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    parts = re.split("([\ud800-\udfff])", _marked(text, special))
+    return "".join(part if i % 2 else rule.normalize_str(part) for i, part in enumerate(parts))
+
+
+def _all_normal(model: Model, texts: list[str | None]) -> list[str]:
+    special = list(model.special)
+    normal = [_normal(t or "", special) for t in texts]
+    # Lower case and composition leave such characters in place, so the normal text shows them.
+    for i, t in enumerate(normal):
+        if not t.isascii() and model.unknown[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            normal[i] = _normal_by_library(texts[i], special)
+    return normal
 
 
 def split_words(model: Model, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts as bytes, and the n + 1 places where the texts start."""
-    normal = [_normal(t or "", list(model.special)) for t in texts]
+    normal = _all_normal(model, texts)
     joined = "\n".join([*normal, ""])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)

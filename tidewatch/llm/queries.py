@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import attention_lm, bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, packing, periodic_runs, repair, secret_scan
 
 #: Vocabularies of the encoding and scoring queries; public files outside the repository, read by the driver.
-TOKENIZER = f"{os.environ.get('TOKENIZERS_FOLDER', '/opt/tokenizers')}/word_bpe_49k.json"
-SUBWORDS = f"{os.environ.get('TOKENIZERS_FOLDER', '/opt/tokenizers')}/byte_bpe_multi_50k.tiktoken"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SUBWORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
