@@ -73,3 +73,34 @@ def test_links_that_the_graph_lost():
     truth = [np.flatnonzero(graph.vectors @ q >= 0.98) for q in queries]
     assert sum(map(len, truth)) == len(paired)
     assert all(set(f) == set(t) for f, t in zip(found, truth, strict=True))
+
+
+def test_beams_are_used_and_audited(spark, monkeypatch):
+    """Where links are rare no block is compared in full, and the recall of every shard's beam is known."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    x[1400:] = x[:100] + 0.01 * rng.normal(size=(100, 24))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    shards = ed.audits(vectors, shard=512).collect()
+    assert len(shards) == 4 and sum(r.vectors for r in shards) == 1500
+    assert all(r.recall >= 0.9 and r.width < r.vectors for r in shards)
+    got = [tuple(r) for r in ed.near_duplicates(vectors, shard=512, queries=200).collect()]
+    wanted = all_pairs(rows)
+    assert sum(n for _, n, _, _ in got) >= 0.9 * sum(n for _, n, _, _ in wanted) > 0
+    assert all(n <= m for (_, n, _, _), (_, m, _, _) in zip(brute.ordered(got), brute.ordered(wanted), strict=True))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = ed.Graph.build(x)
+    graph.audit(0.98)
+    compared = []
+    monkeypatch.setattr(ed, "_compared", lambda *a: compared.append(a) or [])
+    ed.search(graph, x[:300], 0.98)
+    assert not compared and graph.recall == 1.0
+
+
+def test_probes_lie_at_the_edge_of_a_link():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (ed.turned(x, 0.98, rng) * x).sum(axis=1)
+    assert (near >= 0.98).all() and (near < 0.989).all()

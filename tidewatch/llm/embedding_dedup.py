@@ -1,14 +1,17 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Vectors of one label and length are dealt to shards of ``SHARD`` vectors; each shard is a graph, built once and staged. Every vector asks every
-shard of its label, in blocks of queries. A beam that ends among vectors that link is widened until it ends outside.
-Each block is audited: queries are answered by brute force until enough of them have links, and if the graph misses one of these, the beam
-of the whole block is widened until the audit passes, or all vectors are compared. Links are verified by their cosine in double precision. A block returns
+Vectors of one label and length are dealt to shards of ``SHARD`` vectors, or larger ones in a large label; each shard is a graph, built once and staged. A graph is audited when it is
+built: ``PROBES`` of its vectors, and as many vectors turned away from one of them by just less than the angle of a link, are looked for by the
+beam and by brute force. So the audit always has links to find, however rare they are among the vectors. The beam is widened until it finds
+all links of the probes; that width, and the share of links found with it, are kept with the graph (``audits``). Vectors that no way over the links leads to
+are known and compared directly. Every vector then asks every shard of its label with that
+shard's beam, in blocks of queries. A beam that ends among vectors that link is widened until it ends outside; a vector that links with more
+than ``WIDE`` others of a shard is compared with all of it instead, which is less work. Links are verified by their cosine in double precision. A block returns
 numbers of links and a spanning forest, never its pairs; the forests are united to components.
 
 Equal vectors are one node with a weight from the start. Defined results: a vector that is null, empty, zero or has a null or non-finite component, and
 one without label or id, links with nothing and is its own component. Rows that repeat an id count as vectors of their own. Extra columns are
-ignored.
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ from tidewatch.llm.components import connected_components
 from tidewatch.llm.tables import pick, staged
 
 COSINE = 0.98
-SHARD = 2048
+#: A label has one shard for so many vectors, then up to ``SHARDS`` larger ones, and more only above ``LARGEST`` vectors each: a query asks all of them.
+SHARD = 1 << 12
+SHARDS = 16
+LARGEST = 1 << 16
 QUERIES = 4096
 NEIGHBOURS = 12
 BUILD_BEAM = 48
 BEAM = 24
-#: Queries with so many links to check a beam by, see ``search``.
-AUDITED = 24
-FEW = 8
+#: Vectors of a shard, and turned ones, that its beam is audited by.
+PROBES = 48
+#: Above this width a query is compared with the whole shard.
+WIDE = 512
 #: Queries that are compared with all vectors at a time.
 COMPARED = 256
 
@@ -44,6 +51,8 @@ class Graph:
         n = len(vectors)
         self.links: list[np.ndarray] = [np.full((n, 2 * NEIGHBOURS), -1, np.int32)]
         self.entry, self.top = 0, 0
+        #: Beam that found all links of the probes, and the share it found; all vectors are compared where no beam does.
+        self.width, self.recall = BEAM, 1.0
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 1) -> Graph:
@@ -129,8 +138,8 @@ class Graph:
                 heapq.heappush(open_, (-s, k))
         return sorted(best, reverse=True)
 
-    def linked(self, q: np.ndarray, width: int, cosine: float) -> np.ndarray:
-        """Vectors within ``cosine``; the beam is widened until it ends outside."""
+    def linked(self, q: np.ndarray, width: int, cosine: float) -> np.ndarray | None:
+        """Vectors within ``cosine``; the beam is widened until it ends outside. None where it gets wider than ``WIDE``."""
         start = [self.entry]
         for layer in range(self.top, 0, -1):
             start = [j for _, j in self.beam(q, start, layer, 1)]
@@ -138,35 +147,66 @@ class Graph:
             found = self.beam(q, start, 0, min(width, len(self.vectors)))
             if found[-1][0] < cosine or len(found) == len(self.vectors) or len(found) < width:
                 return np.array([j for s, j in found if s >= cosine], np.int64)
+            if width >= WIDE:
+                return None
             width *= 2
 
-
-def search(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None) -> list[np.ndarray]:
-    """Links of every query, with the audit. ``own``: which vector of the graph each query is itself, or -1.
-
-    Queries are answered by brute force until ``AUDITED`` of them have links, but ``FEW`` at most: groups that are small here are the ones a beam
-    may miss. A beam must find all links of the audited ones; where links are too rare to audit, every answer is by brute force.
-    """
-    own = np.full(len(queries), -1) if own is None else own
-    found: list[np.ndarray] = []
-    few: list[int] = []
-    many: list[int] = []
-    while len(found) < len(queries) and len(few) < AUDITED:
-        a = len(found)
-        for i, links in enumerate(_compared(graph, queries[a : a + COMPARED], cosine), a):
-            found.append(links)
-            others = np.count_nonzero(links != own[i])
-            if others:
-                (few if others <= FEW else many).append(i)
-    audited = few + many[:AUDITED]
-    rest = queries[len(found) :]
-    width = BEAM
-    while len(rest) and width < len(graph.vectors):
-        if all(np.array_equal(np.sort(graph.linked(queries[i], width, cosine)), found[i]) for i in audited):
-            return found + [graph.linked(q, width, cosine) for q in rest]
-        width *= 2
-    for a in range(0, len(rest), COMPARED):
-        found += _compared(graph, rest[a : a + COMPARED], cosine)
+    def lost(self) -> np.ndarray:
+        """Vectors that no way over the links leads to from the entry; queries are compared with these directly."""
+        seen = np.zeros(len(self.vectors), bool)
+        front = np.array([self.entry])
+        while len(front):
+            seen[front] = True
+            others = np.unique(self.links[0][front])
+            others = others[others >= 0]
+            front = others[~seen[others]]
+        return np.flatnonzero(~seen)
+
+    def audit(self, cosine: float, seed: int = 2) -> None:
+        """Sets ``width`` and ``recall`` by probes whose links are found by brute force."""
+        rng = np.random.default_rng(seed)
+        chosen = self.vectors[rng.choice(len(self.vectors), min(PROBES, len(self.vectors)), replace=False)]
+        probes = np.concatenate([chosen, turned(chosen, cosine, rng)])
+        wanted = _compared(self, probes, cosine)
+        links = sum(map(len, wanted))
+        while self.width < min(len(self.vectors), WIDE):
+            got = [self.linked(q, self.width, cosine) for q in probes]
+            # A probe whose beam gets too wide is one that will be compared.
+            found = sum(len(w) if g is None else len(np.intersect1d(g, w)) for g, w in zip(got, wanted, strict=True))
+            self.recall = found / links if links else 1.0
+            if found == links:
+                return
+            self.width *= 2
+        self.width, self.recall = len(self.vectors), 1.0
+
+
+def turned(vectors: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors at a cosine between ``cosine`` and 1 to ``vectors``, nearer to the former."""
+    if vectors.shape[1] < 2:
+        return vectors.copy()
+    aside = rng.normal(size=vectors.shape)
+    aside -= (aside * vectors).sum(axis=1, keepdims=True) * vectors
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    near = 1 - (1 - cosine) * rng.uniform(0.6, 0.98, (len(vectors), 1))
+    return near * vectors + np.sqrt(1 - near**2) * aside
+
+
+def search(graph: Graph, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """Links of every query, by the audited beam; those with very many links by comparison."""
+    if graph.width >= len(graph.vectors):
+        wide, found = list(range(len(queries))), [None] * len(queries)
+    else:
+        found = [graph.linked(q, graph.width, cosine) for q in queries]
+        wide = [i for i, links in enumerate(found) if links is None]
+        lost = graph.lost()
+        beside = np.argwhere(queries @ graph.vectors[lost].T >= cosine) if len(lost) else []
+        for i, j in beside:
+            if found[i] is not None:
+                found[i] = np.append(found[i], lost[j])
+    for a in range(0, len(wide), COMPARED):
+        part = wide[a : a + COMPARED]
+        for i, links in zip(part, _compared(graph, queries[part], cosine), strict=True):
+            found[i] = links
     return found
 
 
@@ -179,16 +219,24 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
 
 
-def _build(key, table: pa.Table) -> pa.Table:
-    vectors = _matrix(table.column("unit"))
-    graph = Graph.build(vectors)
+def _builder(cosine: float):
+    def build(key, table):
+        vectors = _matrix(table.column("unit"))
+        graph = Graph.build(vectors)
+        graph.audit(cosine)
+        return _stored(key, table, vectors, graph)
+
+    return build
+
+
+def _stored(key, table: pa.Table, vectors: np.ndarray, graph: Graph) -> pa.Table:
     return pa.table(
         {
             "label": pa.array([key[0].as_py()], key[0].type), "dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int64()),
             "nodes": pa.array([table.column("node").to_pylist()], pa.list_(pa.int64())),
             "weights": pa.array([table.column("weight").to_pylist()], pa.list_(pa.int64())),
             "vectors": [vectors.tobytes()], "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
-            "entry": pa.array([[graph.entry, graph.top]], pa.list_(pa.int64())),
+            "entry": pa.array([[graph.entry, graph.top, graph.width]], pa.list_(pa.int64())), "recall": pa.array([graph.recall]),
         }
     )
 
@@ -202,10 +250,10 @@ def _ask(cosine: float):
         nodes, weights = np.array(row["nodes"]), np.array(row["weights"])
         graph = Graph(np.frombuffer(row["vectors"]).reshape(len(nodes), -1))
         graph.links = [np.frombuffer(x, np.int32).reshape(len(nodes), -1) for x in row["links"]]
-        graph.entry, graph.top = row["entry"]
+        graph.entry, graph.top, graph.width = row["entry"]
         asking, own = queries.column("node").to_numpy(), queries.column("weight").to_numpy()
-        at = {x: i for i, x in enumerate(nodes.tolist())}
-        found = search(graph, _matrix(queries.column("unit")), cosine, np.array([at.get(x, -1) for x in asking.tolist()]))
+        at = set(nodes.tolist())
+        found = search(graph, _matrix(queries.column("unit")), cosine)
         number = {int(x): i for i, x in enumerate(dict.fromkeys([*asking.tolist(), *nodes.tolist()]))}
         parent = list(range(len(number)))
 
@@ -230,13 +278,8 @@ def _ask(cosine: float):
     return ask
 
 
-_build.__annotations__.clear()
-
-
-def near_duplicates(
-    vectors: DataFrame, id_column="vec_id", vector_column="embedding", label_column="label", cosine=COSINE, shard=SHARD, queries=QUERIES
-) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
+def _graphs(vectors: DataFrame, id_column, vector_column, label_column, cosine, shard, queries):
+    """Keyed rows, different vectors, sizes of labels, vectors to deal out, and the staged graphs."""
     rows = pick(vectors, vec_id=id_column, v=vector_column, label=label_column)
     rows = rows.withColumn("v", F.col("v").cast("array<double>")).withColumn("dim", F.size("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -255,15 +298,30 @@ def near_duplicates(
     nodes = nodes.select("k1", "k2", "label", "dim", F.col("node").alias("least_id"), "weight", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / shard).alias("shards"), F.ceil(F.col("n") / queries).alias("blocks"))
+    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / F.greatest(F.lit(shard), F.least(F.lit(LARGEST), F.col("n") / SHARDS))).alias("shards"), F.ceil(F.col("n") / queries).alias("blocks"))
     dealt = nodes.select("label", "dim", "node", "weight", "unit").join(sizes, ["label", "dim"])
     label_type = rows.schema["label"].dataType.simpleString()
     shards = dealt.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")))
     graphs = shards.select("label", "dim", "shard", "node", "weight", "unit").groupBy("label", "dim", "shard").applyInArrow(
-        _build,
-        f"label {label_type}, dim int, shard long, nodes array<bigint>, weights array<bigint>, vectors binary, links array<binary>, entry array<bigint>",
+        _builder(cosine),
+        f"label {label_type}, dim int, shard long, nodes array<bigint>, weights array<bigint>, vectors binary, links array<binary>, entry array<bigint>, recall double",
     )
-    graphs = staged(graphs, "graphs").join(sizes, ["label", "dim"])
+    graphs = staged(graphs, "graphs")
+    return keyed, nodes, sizes, dealt, graphs
+
+
+def audits(vectors: DataFrame, id_column="vec_id", vector_column="embedding", label_column="label", cosine=COSINE, shard=SHARD) -> DataFrame:
+    """Per shard: label, dim, shard, vectors, width of its beam, recall of the probes' links with it."""
+    *_, graphs = _graphs(vectors, id_column, vector_column, label_column, cosine, shard, QUERIES)
+    return graphs.select("label", "dim", "shard", F.size("nodes").alias("vectors"), F.col("entry")[2].alias("width"), "recall")
+
+
+def near_duplicates(
+    vectors: DataFrame, id_column="vec_id", vector_column="embedding", label_column="label", cosine=COSINE, shard=SHARD, queries=QUERIES
+) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept."""
+    keyed, nodes, sizes, dealt, graphs = _graphs(vectors, id_column, vector_column, label_column, cosine, shard, queries)
+    graphs = graphs.drop("recall").join(sizes, ["label", "dim"])
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("shards", "blocks")
     asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))).drop("shards", "blocks")
