@@ -1,16 +1,17 @@
 """Exact dedup: Golomb-coded exchange of fingerprints, then byte verification of suspects.
 
 1. Every document gets a 64-bit fingerprint of its text (A-Z lower-cased). The fingerprints of a sender (a
-   block of documents that one task wrote to a staged table) are dealt to owners by value, sorted,
-   and each owner's part goes out as the Golomb-Rice code of its gaps.
+   block of documents that one task wrote to a staged table) are dealt to owners by value, sorted, each once,
+   and each owner's part goes out as the Golomb-Rice code of its gaps, with a bit per fingerprint that the sender has several times.
 2. An owner decodes what all senders sent it and returns to each a bitmap: which of its fingerprints occur
-   more than once.
+   more than once anywhere.
 3. Only documents with such a fingerprint (suspects) send their text. Equal texts are found by grouping on the bytes.
    Copies collapse in the map tasks, so one group may hold a third of all rows.
 
 Defined results: null text counts as empty; of equal texts the row with the largest id stays, an id of
 null only if there is no other. Rows that repeat both id and text are copies like any other; ``kept`` is true for each
 row with the id that stays. Different texts with one SHA-256 would be reported as an error, not merged. Extra columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,33 +83,32 @@ def _messages(owners: int):
     span = (1 << 64) // owners + 1
 
     def encode(key, table):
-        values = np.sort(_unsigned(table.column("print").to_numpy()))
+        # Each fingerprint once, with a bit for those that the sender has several times: a text that a third of all rows share is one number.
+        values, counts = np.unique(_unsigned(table.column("print").to_numpy()), return_counts=True)
         whose = values // np.uint64(span)
         cuts = np.searchsorted(whose, np.arange(owners + 1, dtype=np.uint64))
         rows = [
-            (key[0].as_py(), o, int(b - a), golomb_encode(values[a:b], o * span, span))
+            (key[0].as_py(), o, int(b - a), golomb_encode(values[a:b], o * span, span), np.packbits(counts[a:b] > 1).tobytes())
             for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
             if b > a
         ]
-        return pa.table(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-            names=["sender", "owner", "n", "code"],
-        )
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sender", "owner", "n", "code", "several"])
 
     return encode
 
 
 def _answers(owners: int):
-    """Bitmaps of one owner: a row per sender, a bit per fingerprint that it sent, in order."""
+    """Bitmaps of one owner: a row per sender, a bit per fingerprint that it sent, in order: whether any other row has it too."""
     span = (1 << 64) // owners + 1
 
     def answer(key, table):
         low = key[0].as_py() * span
         senders, sizes = table.column("sender").to_numpy(), table.column("n").to_numpy()
         sent = [golomb_decode(c.as_py(), int(n), low, span) for c, n in zip(table.column("code"), sizes, strict=True)]
-        everything = np.concatenate(sent)
-        values, counts = np.unique(everything, return_counts=True)
-        twice = values[counts > 1]
+        several = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: len(s)].astype(bool) for b, s in zip(table.column("several"), sent, strict=True)]
+        values, counts = np.unique(np.concatenate(sent), return_counts=True)
+        twice = np.union1d(values[counts > 1], np.concatenate([s[m] for s, m in zip(sent, several, strict=True)]))
         maps = [np.packbits(np.isin(s, twice)).tobytes() for s in sent]
         return pa.table(
             [pa.array(senders, pa.int64()), pa.array([key[0].as_py()] * len(maps), pa.int32()), pa.array(maps, pa.binary())],
@@ -122,14 +122,13 @@ def _suspects(owners: int):
     span = (1 << 64) // owners + 1
 
     def flag(key, rows, bitmaps):
-        values = _unsigned(rows.column("print").to_numpy())
-        order = np.argsort(values, kind="stable")
-        whose = values[order] // np.uint64(span)
+        values, place = np.unique(_unsigned(rows.column("print").to_numpy()), return_inverse=True)
+        whose = values // np.uint64(span)
         flags = np.zeros(len(values), bool)
         for owner, bits in zip(bitmaps.column("owner").to_pylist(), bitmaps.column("bitmap").to_pylist(), strict=True):
             a, b = np.searchsorted(whose, np.array([owner, owner + 1], np.uint64))
-            flags[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a].astype(bool)
-        return rows.select(["doc_id", "print", "text_sha256"]).append_column("suspect", pa.array(flags))
+            flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a].astype(bool)
+        return rows.select(["doc_id", "print", "text_sha256"]).append_column("suspect", pa.array(flags[place]))
 
     return flag
 
@@ -144,7 +143,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     shape = printed.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("sender").alias("senders")).first()
     owners = max(1, -(-shape["n"] // (PER_MESSAGE * max(1, shape["senders"]))))
     owners = min(max(owners, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20)
-    messages = printed.select("sender", "print").groupBy("sender").applyInArrow(_messages(owners), "sender long, owner int, n int, code binary")
+    messages = printed.select("sender", "print").groupBy("sender").applyInArrow(_messages(owners), "sender long, owner int, n int, code binary, several binary")
     answers = messages.groupBy("owner").applyInArrow(_answers(owners), "sender long, owner int, bitmap binary")
     flagged = (
         printed.groupBy("sender")
