@@ -257,3 +257,16 @@ def test_hot_pool_is_shared_by_tasks(spark, table):
     plain = found(table, rows, window_seconds=10)
     assert sorted(map(tuple, plain)) == sorted(map(tuple, found(table, rows, window_seconds=10, pairs_per_task=25)))
     assert len(plain) > 1000
+
+
+def test_the_score_of_a_triple_is_computed_once(table):
+    plan = sandwich_candidates(table(CLASSIC))._jdf.queryExecution().optimizedPlan().toString()
+    # One for the steps of the score and one for its tie, the others are buckets of time.
+    assert plan.count("FLOOR((_score") == 1 and plan.count("FLOOR((_tie") == 1
+
+
+def test_heavy_keys_are_shuffled_however_few_their_bytes(table):
+    rows = [swap(i, i % 3, i, (-1) ** i * 1000, (-1) ** (i + 1)) for i in range(40)]
+    for find in (sandwich_candidates, sandwich_attacks, reversal_pairs):
+        plan = find(table(rows), SandwichSettings(pairs_per_task=4))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [" in plan

@@ -22,7 +22,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.labels import wash_direction
-from tidewatch.operators.sandwich import VICTIM_KEY, SandwichSettings, _bucket, _legs, amount_similarity, tradable_swaps, triple_columns
+from tidewatch.operators.sandwich import (
+    VICTIM_KEY,
+    SandwichSettings,
+    _bucket,
+    _legs,
+    amount_similarity,
+    tradable_swaps,
+    triple_columns,
+    with_pair_values,
+    with_victim_values,
+)
 from tidewatch.operators.wash import WashSettings, _trades
 from tidewatch.schemas import USD
 
@@ -77,7 +87,7 @@ def stream_sandwiches(swaps: DataFrame, settings: SandwichSettings = SandwichSet
     )
     for name in VICTIM_KEY:
         condition = condition & (F.col(f"v_{name}") == F.col(name))
-    return triple_columns(pairs.join(victims, condition))
+    return triple_columns(with_pair_values(pairs).join(with_victim_values(victims), condition))
 
 
 #: In the order in which trades of one trader follow each other.
