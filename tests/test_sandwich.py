@@ -270,3 +270,9 @@ def test_heavy_keys_are_shuffled_however_few_their_bytes(table):
     for find in (sandwich_candidates, sandwich_attacks, reversal_pairs):
         plan = find(table(rows), SandwichSettings(pairs_per_task=4))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [" in plan
+
+
+def test_a_pair_takes_one_difference_of_volumes(table):
+    plan = sandwich_attacks(table(CLASSIC))._jdf.queryExecution().optimizedPlan().toString()
+    pair = next(line for line in plan.splitlines() if "victim_volume_usd" in line)
+    assert pair.count("volume_") - pair.count("victim_volume_usd") == 2
