@@ -51,6 +51,13 @@ def test_loops_equal_a_walk(table, pairs_per_task):
     assert {len(txs) for txs in found} == {2, 3, 4}
 
 
+def test_each_hop_is_joined_once(table):
+    rows = [paid(1, 1, 2, 0), paid(2, 2, 3, 5), paid(3, 3, 1, 9)]
+    plan = closed_loops(table(rows), LoopSettings(min_usd=Decimal(500), pairs_per_task=1))._jdf.queryExecution().optimizedPlan().toString()
+    # The last hop, and the heavy keys of its two sides; earlier hops are read.
+    assert plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") <= 2
+
+
 def test_loop_records(table):
     rows = [paid(1, 1, 2, 0), paid(2, 2, 3, 5, 990), paid(3, 3, 1, 9, 980), paid(4, 1, 1, 10), paid(5, 3, 1, 10, 20)]
     some = LoopSettings(min_usd=Decimal(500))

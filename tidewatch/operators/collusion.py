@@ -24,6 +24,7 @@ from tidewatch.operators.components import connected_components
 from tidewatch.operators.sandwich import swap_position
 from tidewatch.operators.skew import TILE, place_left, place_right, tile_grid
 from tidewatch.schemas import AMOUNT, USD, WASH_PATTERN_SCHEMA, require_columns
+from tidewatch.session import written
 
 LOOP_KEY = ["pool", "address", "bucket"]
 
@@ -88,7 +89,7 @@ def _grown(paths: DataFrame, swaps: DataFrame, settings: LoopSettings) -> DataFr
 
 def closed_loops(df: DataFrame, settings: LoopSettings = LoopSettings()) -> DataFrame:
     """One row per loop: pool, addresses and txs in order, first_timestamp, last_timestamp, low, high, volume (USD)."""
-    swaps = _transfers(df, settings)
+    swaps = written(_transfers(df, settings), "transfers")
     paths = swaps.select(
         "pool",
         F.col("seq").alias("first"),
@@ -101,9 +102,14 @@ def closed_loops(df: DataFrame, settings: LoopSettings = LoopSettings()) -> Data
         F.col("usd").cast(AMOUNT).alias("volume"),
     )
     found = None
-    for _ in range(settings.most_swaps - 1):
+    for hop in range(settings.most_swaps - 1):
         grown = _grown(paths, swaps, settings)
         back = F.col("at") == F.col("addresses")[0]
+        if hop < settings.most_swaps - 2:
+            # Counted, grown further and searched for loops: each hop is joined once.
+            grown = written(grown, "paths")
+        else:
+            grown = grown.where(back)
         closed = grown.where(back)
         found = closed if found is None else found.unionByName(closed)
         paths = grown.where(~back)
