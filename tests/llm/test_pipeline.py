@@ -132,3 +132,11 @@ def test_every_language_is_learned(spark):
     few = docs.where("lang in ('l1', 'l2')").replace({"l1": "en", "l2": "de"}, subset=["lang"])
     report = {(r.doc_id, r.lang_pred) for r in language_id.language_report(few.unionByName(few)).collect()}
     assert {i for i, _ in report} == {r.doc_id for r in few.collect()} and len(report) == len({i for i, _ in report})
+
+
+def test_texts_go_to_python_once_and_do_not_come_back(spark):
+    table = docs(spark, [(1, "the and of that", "a"), (2, "der und das", "b")])
+    found = corpus_pipeline.identify_language(spark, table, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert found.count() == 2

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.tables import pick
 from tidewatch.llm.textops import LOWER, chunks, flat
@@ -177,6 +178,9 @@ def classify(network: Network, text: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(has_letter, total.max(axis=1, initial=0.0), 0.0).clip(0, 1)
 
 
+_FOUND = [("lang_pred", pa.string()), ("lang_score", pa.float64())]
+
+
 def _scorer(network: Network | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -193,6 +197,18 @@ def _scorer(network: Network | None):
     return score
 
 
+def _predictor(network: Network | None):
+    score = _scorer(network)
+
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            parts = list(score(iter([pa.RecordBatch.from_arrays([text], names=["text"])])))
+            columns = [pa.concat_arrays([p.column(c) for p in parts]) if parts else pa.array([], t) for c, t in _FOUND]
+            yield pa.StructArray.from_arrays(columns, names=[c for c, _ in _FOUND])
+
+    return predict
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """Remainder of the CRC-32 of the id as text; a null id has none."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
@@ -235,9 +251,10 @@ def scored_rows(
     if network is None:
         network = learn(pick(docs, doc_id=id_column, text=text_column, lang=lang_column))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col(f"`{text_column}`").alias("text"), others.alias("kept"))
-    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, lang_score double"
-    return rows.mapInArrow(_scorer(network), schema)
+    # Only texts go to Python, and only languages come back. Marked as not deterministic, else a filter on the result would
+    # be moved below and score every text once more.
+    found = F.arrow_udf(_predictor(network), T.StructType.fromDDL("lang_pred string, lang_score double")).asNondeterministic()
+    return docs.select(others.alias("kept"), found(F.col(f"`{text_column}`")).alias("found")).select("kept", "found.*")
 
 
 def with_language(
