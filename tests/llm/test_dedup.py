@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidewatch.llm import exact_dedup, line_dedup, ngram_join, packing, secret_scan
+from tidewatch.llm import components, exact_dedup, line_dedup, ngram_join, packing, secret_scan
 from tidewatch.llm.prefix_tree import PrefixTree
+from tidewatch.session import cut
 
 
 def plain(df, *columns):
@@ -208,3 +209,15 @@ def test_line_dedup_sorts_by_position_in_one_exchange(spark):
     assert "pos#" in "".join(line for line in plan.splitlines() if "Sort [" in line)
     common = {tuple(r) for r in line_dedup.common_lines(positions, 10).collect()}
     assert common == {(1, 2, 20, 1)}
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """A driver of many rounds collects no table for a join."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)], "a long, b long")
+    rounds = []
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(df) or cut(df))
+    found = components.connected_components(edges, "a", "b")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in rounds]
+    assert len(plans) > 2 and all("isFinalPlan=true" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+    assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 130)}

@@ -307,6 +307,7 @@ def _links_of_large(sets: DataFrame, block: int) -> DataFrame:
     probes = partners.select(F.col("center").alias("g1"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("g2s"))
     probes = probes.select("g1", "g2s", F.col("g1").alias("node"), F.col("g1").alias("component"), F.lit(0).alias("role"))
     links = cut(_verify(rows.unionByName(probes), sets))
+    release(sets.sparkSession)
 
     found = connected_components(links, "a", "b")
     labelled = cut(lists.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")))
@@ -317,6 +318,7 @@ def _links_of_large(sets: DataFrame, block: int) -> DataFrame:
     # Lists of the same nodes are one.
     once = left.groupBy("k", "x1", "x2").agg(F.min(F.struct("h", "a")).alias("m")).select("m.h", "m.a", "k")
     rest = cut(labelled.join(once, "h"))
+    release(sets.sparkSession)
     # Either all nodes of a family meet in large blocks, or list by list in small ones; whichever sends fewer sets.
     family = connected_components(rest.select("a", F.col("node").alias("b")), "a", "b").withColumnRenamed("component", "family")
     placed = cut(rest.join(family, "node"))
@@ -354,6 +356,7 @@ def similarity_components(
     nodes = open_rows.groupBy("d1", "d2", "doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
     nodes = nodes.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row", "copies")).alias("m"))
     nodes = staged(nodes.select("d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node"), F.col("m.copies").alias("copies")), "nodes")
+    release(docs.sparkSession)
 
     chosen = open_items.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     shared = counted.where("h IS NOT NULL").select("h", "df")
@@ -366,6 +369,7 @@ def similarity_components(
     groups = _blocks(small.select(F.col("family").alias("g1"), "k", "node", F.col("node").alias("component")), block)
     links = _linked(_sets(docs, cut(nodes.join(groups, "node"))).withColumn("own", F.lit(0).cast("long")))
     large = cut(family.join(small, "node", "left_anti").select("node"))
+    release(docs.sparkSession)
     if large.limit(1).count():
         sets = staged(_sets(docs, nodes.join(large, "node", "left_semi")), "sets")
         links = links.unionByName(_links_of_large(sets, block))
