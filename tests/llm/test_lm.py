@@ -99,6 +99,22 @@ def test_model_learns_from_every_training_text(documents):
     assert row.score / row.n_tokens > -0.5
 
 
+def test_many_texts_are_passed_over_as_often_as_few(spark, monkeypatch):
+    """2.4 million tokens: each part of the texts is learned from ``EPOCHS`` times."""
+    end, learned = 199, []
+    text = np.random.default_rng(4).integers(0, end + 1, 100_000).astype(lm._id_type(end)).tobytes()
+    texts = spark.createDataFrame([(i % lm.ROUNDS, bytearray(text)) for i in range(24)], "part int, ids binary").repartition(4, "part")
+
+    def fitted(theta, tables, end, fit=lm._fitted):
+        learned.append(theta.value.copy())
+        return fit(theta, tables, end)
+
+    monkeypatch.setattr(lm, "_fitted", fitted)
+    lm._learn(texts, end)
+    assert len(learned) == lm.EPOCHS * lm.ROUNDS
+    assert all((a != b).any() for a, b in zip(learned[:-1], learned[1:], strict=True))
+
+
 def test_parts_of_a_row_of_ids_and_vectors_meet():
     """Rows of a token that arrive in two batches make one vector; ids come back as they were."""
     batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([1, 1, 2]), lm.pa.array([0, 5, 7]), lm.pa.array([9, 16, 4])], names=["token", "bucket", "n"])
