@@ -15,7 +15,7 @@ from tidewatch.operators.sandwich import (
     sandwich_attacks,
     sandwich_candidates,
 )
-from tidewatch.operators.skew import TILE, place_left, place_right, tile_grid
+from tidewatch.operators.skew import TILE, grid_of, place_everywhere, place_left, place_right, tile_grid
 from tidewatch.schemas import SANDWICH_SCHEMA
 
 A, V, W = 1, 2, 3
@@ -276,3 +276,51 @@ def test_a_pair_takes_one_difference_of_volumes(table):
     plan = sandwich_attacks(table(CLASSIC))._jdf.queryExecution().optimizedPlan().toString()
     pair = next(line for line in plan.splitlines() if "victim_volume_usd" in line)
     assert pair.count("volume_") - pair.count("victim_volume_usd") == 2
+
+
+def _between_joins(plan):
+    lines = plan.splitlines()
+    at = [i for i, line in enumerate(lines) if "Join [" in line]
+    return lines[at[0] + 1 : at[1]]
+
+
+def test_pairs_of_a_dense_pool_are_neither_shuffled_nor_stored(table, monkeypatch):
+    """300 swaps of three senders in a minute: some 30,000 pairs, which pass from join to join."""
+    stored = []
+    monkeypatch.setattr(sandwich, "written", lambda df, name, to=sandwich.written: (stored.append(df.count()), to(df, name))[1])
+    rows = [swap(i, i % 3, i // 5, (-1) ** i * 1000, -((-1) ** i), 1000) for i in range(300)]
+    result = sandwich_candidates(table(rows), SandwichSettings(pairs_per_task=1000))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line or "Sort [" in line for line in _between_joins(plan))
+    assert sum(stored) < 2 * len(rows)
+    assert len(_brute_force(rows[:60], 60, 100.0, 0.5)) == len(found(table, rows[:60], pairs_per_task=1000))
+
+
+def test_dense_and_sparse_pools_give_what_a_run_without_tiles_does(table):
+    """A router in one pool, hardly a pair in the other, with rows that repeat, null senders and pools, and ties."""
+    rows = [swap(i, 1 if i % 3 else None, i // 8, (-1) ** (i // 2) * 1000, -((-1) ** (i // 2)), 1000 + i % 9) for i in range(240)]
+    other = "0x" + "c" * 40
+    rows += [swap(1000 + i, 10 + i % 110, i // 8, (-1) ** (i // 110) * 700, -((-1) ** (i // 110)), 700, pool=other) for i in range(230)]
+    rows += [{**row, "pool": None} for row in rows[:9]] + rows[5:20] + rows[300:310]
+    plain = Counter(map(tuple, found(table, rows, window_seconds=20, pairs_per_task=None)))
+    assert {t[4] for t in plain} == {POOL, other}
+    for pairs_per_task in (20, 2000):
+        assert Counter(map(tuple, found(table, rows, window_seconds=20, pairs_per_task=pairs_per_task))) == plain
+
+
+def test_many_swaps_without_a_pair(table):
+    rows = [swap(i, i % 2, i // 5, 1000, -1, 1000) for i in range(60)]
+    assert found(table, rows, pairs_per_task=10) == []
+
+
+def test_copies_for_tiles_are_bounded_however_many_pairs(spark):
+    """Tiles of one pair each would repeat every row for all others of its key."""
+    left = spark.range(2000).selectExpr("id AS l", "id % 4 AS k")
+    right = spark.range(1000).selectExpr("id AS r", "id % 4 AS k")
+    grid = tile_grid(left, right, ["k"], 1, 16).cache()
+    one, other = place_left(left, grid, ["k"], "l"), place_right(right, grid, ["k"], "r")
+    assert one.count() + other.count() <= 4 * 3000
+    assert one.join(other, ["k", *TILE]).select("l", "r").distinct().count() == left.join(right, "k").count()
+    assert place_everywhere(spark.range(4).withColumnRenamed("id", "k"), grid, ["k"]).count() == grid.selectExpr("sum(rows * columns)").first()[0] <= 40
+    counts = spark.createDataFrame([(0, 5, 2), (1, 1, 3)], "k long, l long, r long")
+    assert [r.k for r in grid_of(counts, ["k"], 4).collect()] == [0]
