@@ -324,3 +324,13 @@ def test_copies_for_tiles_are_bounded_however_many_pairs(spark):
     assert place_everywhere(spark.range(4).withColumnRenamed("id", "k"), grid, ["k"]).count() == grid.selectExpr("sum(rows * columns)").first()[0] <= 40
     counts = spark.createDataFrame([(0, 5, 2), (1, 1, 3)], "k long, l long, r long")
     assert [r.k for r in grid_of(counts, ["k"], 4).collect()] == [0]
+
+
+def test_legs_of_a_heavy_run_are_numbered_once(table):
+    rows = [swap(i, i % 3, i, (-1) ** i * 1000, (-1) ** (i + 1)) for i in range(40)]
+    result = sandwich_attacks(table(rows), SandwichSettings(pairs_per_task=4))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert "amount0" not in plan and "block_number" not in plan
+    settings = SandwichSettings()
+    assert -(-settings.window_seconds // settings.heavy_pair_bucket) <= 2
