@@ -334,3 +334,13 @@ def test_legs_of_a_heavy_run_are_numbered_once(table):
     assert "amount0" not in plan and "block_number" not in plan
     settings = SandwichSettings()
     assert -(-settings.window_seconds // settings.heavy_pair_bucket) <= 2
+
+
+@pytest.mark.parametrize("pairs_per_task", [9, 300])
+def test_a_heavy_run_counts_victims_as_a_light_one(table, pairs_per_task):
+    """Rows that repeat, ties in time and null senders; a position stands for the whole order."""
+    rows = _random_swaps(1, span=30) + _random_swaps(2, span=30)
+    rows += [{**row, "tx_hash": tx(500 + i)} for i, row in enumerate(rows[:40])] + rows[30:60] + [{**row, "tx_hash": None} for row in rows[:20]]
+    for find in (sandwich_attacks, reversal_pairs):
+        light, heavy = (find(table(rows), SandwichSettings(20, pairs_per_task=n)).collect() for n in (None, pairs_per_task))
+        assert len(light) > 200 and Counter(map(tuple, light)) == Counter(map(tuple, heavy))
